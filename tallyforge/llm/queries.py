@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality_rules, simhash, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1,
+    "op2_quality_rules": quality_rules.op2,
     "op5_simhash_near_dedup": simhash.op5,
 }
 
