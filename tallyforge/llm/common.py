@@ -61,6 +61,14 @@ def small_batches(spark: SparkSession) -> None:
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, with as many underscores behind it as keep it apart from the names taken (in any case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def hex64(c: Column) -> Column:
     """A long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))

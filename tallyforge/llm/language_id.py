@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import free_name, small_batches, stash
 
 #: Hashed trigrams of a model: with at most MAX_LANGUAGES models, at most half a million counts reach the driver.
 BUCKETS, MAX_LANGUAGES = 1 << 15, 16
@@ -151,8 +151,8 @@ def posterior(log_text: np.ndarray, n: np.ndarray, declared: np.ndarray, suffix:
     return out / out.sum(1, keepdims=True)
 
 
-def identify(docs: DataFrame, text: Column, declared: Column, address: Column, settings: Settings = Settings()) -> DataFrame:
-    """docs with a struct `language`: lang (null: undetermined), confidence, n_trigrams, text_lang, kept.
+def identify(docs: DataFrame, text: Column, declared: Column, address: Column, settings: Settings = Settings(), out: str = "language") -> DataFrame:
+    """docs with a struct column: lang (null: undetermined), confidence, n_trigrams, text_lang, kept.
 
     A null or blank text brings no text evidence and is not kept; a null declaration or address brings none of its kind.
     Rows that declare nothing known are scored by the models of the languages that others declare; if no row declares
@@ -215,14 +215,14 @@ def identify(docs: DataFrame, text: Column, declared: Column, address: Column, s
             })
 
     done = rows.withColumn("_l", fused("text", "declared", "suffix", "host_n", "suffix_n"))
-    return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names_in)], F.col("_l").alias("language"))
+    return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names_in)], F.col("_l").alias(out))
 
 
 def keep_identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs (documents' columns) whose language is determined. lang counts as the declared markup language
     and source as the address."""
-    found = identify(docs, F.col("text"), F.col("lang"), F.col("source"), settings)
-    return found.where("language.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs.columns, "_language")
+    return identify(docs, F.col("text"), F.col("lang"), F.col("source"), settings, name).where(F.col(f"{name}.kept")).drop(name)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

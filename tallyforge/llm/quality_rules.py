@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 #: Words that are sorted together; one longer text is sorted alone.
 WORDS_AT_ONCE = 200_000
@@ -171,7 +171,8 @@ def quality_measures(docs: DataFrame, text: str = "text", limits: Limits = Limit
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs that the rules keep."""
-    return quality_measures(docs, limits=limits, out="_quality").where("_quality.kept").select(*docs.columns)
+    name = free_name(docs.columns, "_quality")
+    return quality_measures(docs, limits=limits, out=name).where(F.col(f"{name}.kept")).drop(name)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hex64, small_batches, stash
+from .common import free_name, hex64, small_batches, stash
 from .components import connected_components
 
 #: Words of a shingle, and the seed of its hash.
@@ -110,8 +110,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     A repeated row (same doc_id) stays as often as it came; a null doc_id stays only if nothing else is in its group.
     """
-    kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    name = free_name(docs.columns, "_id")
+    kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -102,10 +102,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with text stripped of repeated sentences, and n_sentences and n_removed (null text: 0 and 0).
 
     Texts without a repeat are unchanged to the last byte; from others whole sentences go, with the white space behind
-    them. A text may become empty, never null. All other columns are carried along whatever their names.
+    them. A text may become empty, never null. All other columns are carried along; n_sentences and n_removed of docs
+    itself are replaced.
     """
     small_batches(docs.sparkSession)
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
     doc_id, text = F.col(f"_c{names.index('doc_id')}"), F.col(f"_c{names.index('text')}")
     found = repeated_sentences(plain.select(doc_id.cast("long").alias("doc_id"), text.alias("text")))
