@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, packing, quality_rules, simhash, substring_dedup
+from . import bpe, kd_sharding, language_id, packing, quality_rules, simhash, substring_dedup, warc_fixity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op2_quality_rules": quality_rules.op2,
+    "op3_warc_merkle_fixity": warc_fixity.op3,
     "op4_bpe_segment_tree": bpe.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_language_id": language_id.op7,
+    "op9_kd_tree_sharding": kd_sharding.op9,
     "language_id_pages": language_id.pages,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_warc_merkle_fixity": warc_fixity.OP3_SQL,
+}
