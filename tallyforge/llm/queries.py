@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, kd_sharding, language_id, packing, quality_rules, simhash, substring_dedup, warc_fixity
+from . import bpe, hnsw, kd_sharding, language_id, packing, quality_rules, simhash, substring_dedup, warc_fixity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5,
     "op6_best_fit_packing": packing.op6,
     "op7_language_id": language_id.op7,
+    "op8_hnsw_neighbours": hnsw.op8,
     "op9_kd_tree_sharding": kd_sharding.op9,
     "language_id_pages": language_id.pages,
 }
