@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hnsw, kd_sharding, language_id, packing, quality_rules, simhash, substring_dedup, warc_fixity
+from . import bpe, hnsw, kd_sharding, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc_fixity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": language_id.op7,
     "op8_hnsw_neighbours": hnsw.op8,
     "op9_kd_tree_sharding": kd_sharding.op9,
+    "op10_quality_classifier": quality_classifier.op10,
     "language_id_pages": language_id.pages,
 }
 
