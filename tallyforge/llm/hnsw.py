@@ -203,12 +203,16 @@ def vector_classes(rows: DataFrame, vec_id: str, vector: str, copies: int) -> Da
     return least.select(F.col("i")[0]["vec_id"].alias("vec_id"), "v", F.slice(ids, 1, copies).alias("ids"))
 
 
+def shard_count(rows: int) -> int:
+    return max(MIN_SHARDS, -(-rows // SHARD_ROWS))
+
+
 def build_index(classes: DataFrame, rows: int) -> DataFrame:
     """(shard, ids, dims, vectors, top, links): a graph for each shard of about SHARD_ROWS nodes, as flat arrays.
 
     Vectors of another number of components than a graph's make a graph of their own.
     """
-    shards = max(MIN_SHARDS, -(-rows // SHARD_ROWS))
+    shards = shard_count(rows)
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
@@ -222,29 +226,30 @@ def build_index(classes: DataFrame, rows: int) -> DataFrame:
     return dealt.groupBy("shard", "dims").applyInPandas(build, "shard int, dims int, ids binary, vectors binary, top binary, links binary")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
     """(query_id, found): for each query and shard about its k nearest nodes, by their vec_id. queries: query_id, q.
 
     Each shard's graph goes to one partition, and after it the queries in Arrow batches, so a task holds one graph and
     one batch.
     """
-    shards = index.select("shard", "dims").distinct()
-    asked = queries.select("query_id", "q", F.size("q").alias("qdims")).join(F.broadcast(shards), F.col("qdims") == F.col("dims"))
+    asked = queries.select("query_id", "q", F.size("q").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     none = lambda kind: F.lit(None).cast(kind)
     both = index.select("shard", "dims", F.lit(0).alias("kind"), "ids", "vectors", "top", "links", none("long").alias("query_id"), none("array<double>").alias("q"))
     both = both.union(asked.select("shard", "dims", F.lit(1), none("binary"), none("binary"), none("binary"), none("binary"), "query_id", "q"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = ids = None
+        graph = ids = key = None
         for b in batches:
-            kinds = b.column("kind").to_numpy()
-            starts = [*np.flatnonzero(kinds == 0).tolist(), len(kinds)]
-            spans = [(0, starts[0])] + [*zip(starts, starts[1:], strict=False)]
-            for at, end in spans:
-                if at < end and kinds[at] == 0:
+            kinds, keys = b.column("kind").to_numpy(), np.stack([b.column("shard").to_numpy(), b.column("dims").to_numpy()], 1)
+            turns = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))) if len(kinds) else []
+            for at, end in zip(turns, [*turns[1:], len(kinds)], strict=True):
+                if kinds[at] == 0:
+                    key = tuple(keys[at])
                     row = {c: b.column(c)[at].as_py() for c in ("dims", "ids", "vectors", "top", "links")}
                     graph, ids = Graph.read(row["dims"], row["vectors"], row["top"], row["links"]), np.frombuffer(row["ids"], np.int64)
                     at += 1
+                if tuple(keys[end - 1]) != key:  # no node of this shard has vectors of this length
+                    continue
                 for i in range(at, end, BLOCK):
                     j = min(end, i + BLOCK)
                     x = np.array(b.column("q").slice(i, j - i).to_pylist(), float)
@@ -272,12 +277,13 @@ def nearest(rows: DataFrame, queries: Column, vec_id: str = "vec_id", vector: st
     """
     small_batches(rows.sparkSession)
     classes = stash(vector_classes(rows, vec_id, vector, k + 1), "classes")
-    index = stash(build_index(classes, classes.count()), "index")
+    n = classes.count()
+    index = stash(build_index(classes, n), "index")
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     asked = rows.where(F.coalesce(queries, F.lit(False))).select(F.col(vec_id).cast("long").alias("query_id"), v.alias("q")).distinct()
     asked = asked.join(classes.select(F.col("v").alias("_v")), F.col("q") == F.col("_v"), "left_semi")
     asked = stash(asked, "asked")
-    found = search_index(index, asked, k + 1)
+    found = search_index(index, asked, shard_count(n), k + 1)
     pairs = found.select("query_id", F.explode("found").alias("node"))
     scored = pairs.join(asked, "query_id").join(classes, F.col("node") == F.col("vec_id")).where(F.size("q") == F.size("v"))
     scored = scored.select("query_id", F.hash("q").alias("_q"), F.explode("ids").alias("vec_id"), cosine(F.col("q"), F.col("v")).alias("score")).where("vec_id <> query_id")
