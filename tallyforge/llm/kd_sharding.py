@@ -81,6 +81,8 @@ def cuts(rows: DataFrame, dims: list[str], nodes: dict[int, float]) -> dict[int,
     overall = rows.agg(*spread).first()
     per = rows.where(F.col("_node").isin([*nodes])).groupBy("_node").agg(F.sum("_size").alias("m"), *spread, *[f(d).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))])
     found = {r["_node"]: r for r in per.collect()}
+    if not found:
+        return {n: Cut(dims[0], 0.0, 0) for n in nodes}
     open_, want = {}, {}
     for node, share in nodes.items():
         if node in found:

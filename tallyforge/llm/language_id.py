@@ -134,7 +134,7 @@ def posterior(log_text: np.ndarray, n: np.ndarray, declared: np.ndarray, suffix:
         counts = np.maximum(counts - own, 0)
         return (counts + s.smoothing * wider) / (counts.sum(1, keepdims=True) + s.smoothing)
 
-    prior = smoothed(host_n, smoothed(suffix_n, smoothed(np.broadcast_to(all_n, (rows, k)), np.full((rows, k), 1 / k))))
+    prior = smoothed(host_n, smoothed(suffix_n, smoothed(np.broadcast_to(all_n, (rows, k)), np.full((rows, k), 1 / max(k, 1)))))
     out = np.empty((rows, k + 1))
     out[:, :k] = np.log(prior) + np.log(1 - s.undetermined)
     out[:, k] = np.log(s.undetermined)
