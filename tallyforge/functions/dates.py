@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, however often `use` mentions it."""
-    return F.get(F.transform(F.array(value), use), 0)
+from .text import bound
 
 
 def _full_year(c: Column) -> Column:

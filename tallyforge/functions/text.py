@@ -1,7 +1,9 @@
-"""Text expressions: names, invoice numbers, slugs, escapes. All run inside Spark's generated code."""
+"""Text expressions: names, invoice numbers, slugs, escapes. All are built-in expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 LEGAL_FORMS = ["llc", "inc", "incorporated", "corp", "corporation", "ltd", "limited", "co", "company", "sdn", "bhd", "berhad", "s/b", "sb", "pvt", "private", "plc", "gmbh", "llp", "plt", "pte", "pty"]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space (of any script) at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -23,8 +30,12 @@ def vendor_clean(name: Column) -> Column:
     """A vendor's name without case, stops, article, bracketed parts and legal form; null: empty. A name of nothing else
     keeps all but case, stops and article."""
     plain = F.regexp_replace(F.regexp_replace(strip(F.lower(name)), "[.,]", ""), r"(?U)^the\s+", "")
-    bare = squeeze(F.regexp_replace(F.regexp_replace(plain, r"\(.*?\)", " "), rf"(?U)\b({'|'.join(LEGAL_FORMS)})\b", ""))
-    return F.coalesce(F.when(bare != "", bare).otherwise(squeeze(plain)), F.lit(""))
+
+    def bare(p: Column) -> Column:
+        short = squeeze(F.regexp_replace(F.regexp_replace(p, r"\(.*?\)", " "), rf"(?U)\b({'|'.join(LEGAL_FORMS)})\b", ""))
+        return bound(short, lambda s: F.when(s != "", s).otherwise(squeeze(p)))
+
+    return F.coalesce(bound(plain, bare), F.lit(""))
 
 
 def invoice_key(number: Column) -> Column:

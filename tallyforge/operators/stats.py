@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import bound
 from ..settings import DEFAULT, Settings
 
 #: Relative rank error of the approximate quantiles that bound a median.
@@ -19,15 +20,19 @@ _ACCURACY = 10_000
 
 def others_median(ordered: Column, own: Column) -> Column:
     """Median of a sorted array without one element of value `own`; null if nothing is left."""
-    n = F.size(ordered)
 
-    def at(k: Column) -> Column:
-        here = F.get(ordered, k)
-        return F.when(own > here, here).otherwise(F.get(ordered, k + 1))
+    def middle(o: Column) -> Column:
+        n = F.size(o)
 
-    half = F.floor((n - 1) / 2).cast("int")
-    even = at(F.floor((n - 2) / 2).cast("int"))
-    return F.when(n < 2, F.lit(None).cast("double")).when(n % 2 == 0, even).otherwise((at(half - 1) + at(half)) / 2)
+        def at(k: Column) -> Column:
+            here = F.get(o, k)
+            return F.when(own > here, here).otherwise(F.get(o, k + 1))
+
+        half = F.floor((n - 1) / 2).cast("int")
+        even = at(F.floor((n - 2) / 2).cast("int"))
+        return F.when(n < 2, F.lit(None).cast("double")).when(n % 2 == 0, even).otherwise((at(half - 1) + at(half)) / 2)
+
+    return bound(ordered, middle)
 
 
 def group_median(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -62,9 +67,12 @@ def add_features(cleaned: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
     members = rows.where(F.col("_m") <= most).groupBy("vendor_id").agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
     members = members.select(F.array_sort(F.col("_rows.amount_usd")).alias("_amounts"), F.array_sort(F.col("_rows._log")).alias("_logs"), F.explode("_rows").alias("_r"))
-    small = members.select("_r.*", others_median(F.col("_amounts"), F.col("_r.amount_usd")).alias("_med"), others_median(F.col("_logs"), F.col("_r._log")).alias("_lmed"), "_logs")
-    away = F.array_sort(F.transform("_logs", lambda x: F.abs(x - F.col("_lmed"))))
-    small = small.withColumn("_lmad", others_median(away, F.abs(F.col("_log") - F.col("_lmed")))).drop("_logs")
+    log, logs = F.col("_r._log"), F.col("_logs")
+    away = lambda m: F.array_sort(F.transform(logs, lambda x: F.abs(x - m)))
+    by_log = bound(others_median(logs, log), lambda m: F.struct(m.alias("_lmed"), others_median(away(m), F.abs(log - m)).alias("_lmad")))
+    # Through a generator, so that filters on the features don't compute them once more.
+    judged = members.select("_r", F.explode(F.array(F.struct(others_median(F.col("_amounts"), F.col("_r.amount_usd")).alias("_med"), by_log.alias("_l")))).alias("_f"))
+    small = judged.select("_r.*", "_f._med", "_f._l._lmed", "_f._l._lmad")
 
     if not any_large:
         return _judged(small)

@@ -22,16 +22,17 @@ named AS (
     CASE WHEN k % 50 = 9 THEN 'XYZ' WHEN c % 3 = 0 THEN 'USD' WHEN c % 3 = 1 THEN 'EUR' ELSE 'INR' END AS cur,
     CASE WHEN k % 4 = 0 THEN 'PO-' || CAST(c AS STRING) END AS po
   FROM base)
-SELECT k * 10 AS id, num AS invoice_id, vid AS vendor_id, stem || form AS vendor_name, d AS invoice_date, a AS amount, cur AS currency, po AS po_number, 0 AS is_anomaly, CAST(NULL AS STRING) AS anomaly_type FROM named
-UNION ALL SELECT k * 10 + 1, replace(num, '-', ''), vid, upper(stem || form), d + 3, a, cur, po, 1, 'copy' FROM named WHERE k % 97 = 0
-UNION ALL SELECT k * 10 + 2, replace(num, 'INV-0', 'INV-O'), vid, 'The ' || stem || form, d, a, cur, po, 1, 'misread' FROM named WHERE k % 101 = 0
-UNION ALL SELECT k * 10 + 3, num, vid, stem || form, d + 2, a * 1.06, cur, po, 1, 'rebilled' FROM named WHERE k % 103 = 0
-UNION ALL SELECT k * 10 + 4, 'OV' || CAST(k AS STRING), vid, stem || form, d + 9, a * 5, cur, po, 1, 'overpaid' FROM named WHERE k % 107 = 0
-UNION ALL SELECT k * 10 + 5, 'B1-' || CAST(k AS STRING), vid, stem || form, d, a * 1.1, cur, 'PB' || CAST(k AS STRING), 1, 'burst' FROM named WHERE k % 109 = 0
-UNION ALL SELECT k * 10 + 6, 'B2-' || CAST(k AS STRING), vid, stem || form, d, a * 1.2, cur, 'PB' || CAST(k AS STRING), 1, 'burst' FROM named WHERE k % 109 = 0
-UNION ALL SELECT k * 10 + 7, 'B3-' || CAST(k AS STRING), vid, stem || form, d, a * 1.3, cur, 'PB' || CAST(k AS STRING), 1, 'burst' FROM named WHERE k % 109 = 0
-UNION ALL SELECT k * 10 + 8, 'RN' || CAST(k AS STRING), vid, stem || form, d + 30, 5000000.0, 'USD', po, 1, 'round' FROM named WHERE k % 113 = 0
-UNION ALL SELECT k * 10 + 9, num || 'A', 'V-' || vid, stem || ' limited', d, a, cur, po, 1, 'other id' FROM named WHERE k % 127 = 0
+SELECT k * 10 + j AS id,
+  CASE j WHEN 1 THEN replace(num, '-', '') WHEN 2 THEN replace(num, 'INV-0', 'INV-O') WHEN 4 THEN 'OV' || CAST(k AS STRING) WHEN 5 THEN 'B1-' || CAST(k AS STRING) WHEN 6 THEN 'B2-' || CAST(k AS STRING) WHEN 7 THEN 'B3-' || CAST(k AS STRING) WHEN 8 THEN 'RN' || CAST(k AS STRING) WHEN 9 THEN num || 'A' ELSE num END AS invoice_id,
+  CASE j WHEN 9 THEN 'V-' || vid ELSE vid END AS vendor_id,
+  CASE j WHEN 1 THEN upper(stem || form) WHEN 2 THEN 'The ' || stem || form WHEN 9 THEN stem || ' limited' ELSE stem || form END AS vendor_name,
+  d + CAST(CASE j WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 9 WHEN 8 THEN 30 ELSE 0 END AS INT) AS invoice_date,
+  CASE j WHEN 8 THEN CAST(5000000 AS DOUBLE) ELSE a * CAST(CASE j WHEN 3 THEN 1.06 WHEN 4 THEN 5 WHEN 5 THEN 1.1 WHEN 6 THEN 1.2 WHEN 7 THEN 1.3 ELSE 1 END AS DOUBLE) END AS amount,
+  CASE j WHEN 8 THEN 'USD' ELSE cur END AS currency,
+  CASE WHEN j IN (5, 6, 7) THEN 'PB' || CAST(k AS STRING) ELSE po END AS po_number,
+  CASE j WHEN 0 THEN 0 ELSE 1 END AS is_anomaly,
+  CASE j WHEN 1 THEN 'copy' WHEN 2 THEN 'misread' WHEN 3 THEN 'rebilled' WHEN 4 THEN 'overpaid' WHEN 5 THEN 'burst' WHEN 6 THEN 'burst' WHEN 7 THEN 'burst' WHEN 8 THEN 'round' WHEN 9 THEN 'other id' END AS anomaly_type
+FROM named JOIN (VALUES (0, 1), (1, 97), (2, 101), (3, 103), (4, 107), (5, 109), (6, 109), (7, 109), (8, 113), (9, 127)) AS v(j, every) ON k % every = 0
 """
 
 #: About 600 invoices a vendor. Placeholders: {lineitem}.

@@ -368,8 +368,8 @@ ORACLE_SQL = {
     "same_number_rebilled": f"WITH {_INV}, {_CL} SELECT id FROM (SELECT id, key, {_EXACT} AS x, count(*) OVER (PARTITION BY vendor_id, key) AS n, row_number() OVER (PARTITION BY vendor_id, key ORDER BY {_SEQ}) AS k FROM cl) WHERE key <> '' AND n = 2 AND k = 2 AND NOT x",
     "burst_po_date": f"WITH {_INV} SELECT id FROM (SELECT id, count(invoice_id) OVER (PARTITION BY vendor_id, po_number, invoice_date) AS n FROM inv WHERE po_number IS NOT NULL) WHERE n >= 3",
     "vendor_loo_median": f"WITH {_INV}, {_CL}, {_features_sql()} SELECT id, hist AS vendor_history_count, round(ratio, 6) AS amount_to_vendor_median FROM ft",
-    "vendor_loo_mad_z": f"WITH {_INV}, {_CL}, {_features_sql()} SELECT id, round(z, 4) AS amount_robust_z FROM ft",
-    "vendor_group_stats_large": f"WITH inv AS ({derive.LARGE.format(lineitem='lineitem')}), cl AS MATERIALIZED (SELECT *, amount AS amount_usd FROM inv), {_features_sql()} SELECT id, hist AS vendor_history_count, round(ratio, 6) AS amount_to_vendor_median, round(z, 4) AS amount_robust_z FROM ft",
+    "vendor_loo_mad_z": f"WITH {_INV}, {_CL}, {_features_sql()} SELECT id, round(z, 4) + 0.0::DOUBLE AS amount_robust_z FROM ft",
+    "vendor_group_stats_large": f"WITH inv AS ({derive.LARGE.format(lineitem='lineitem')}), cl AS MATERIALIZED (SELECT *, amount AS amount_usd FROM inv), {_features_sql()} SELECT id, hist AS vendor_history_count, round(ratio, 6) AS amount_to_vendor_median, round(z, 4) + 0.0::DOUBLE AS amount_robust_z FROM ft",
     "overpayment_flags": f"WITH {_INV}, {_CL}, {_features_sql()} SELECT id, round({_OVER}, 6) AS overpayment FROM ft WHERE {_OVER} > 0",
     "round_amounts": f"WITH {_INV}, {_CL}, {_features_sql()} SELECT id, amount_usd FROM ft WHERE {_ROUND} > 0",
     "near_dup_candidates": f"WITH {_INV}, {_CL}, {_CAND} SELECT i_id, j_id, by_block, same_vendor FROM pr",
