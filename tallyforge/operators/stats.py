@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import bound
 from ..settings import DEFAULT, Settings
+from ..sources.scratch import written
 
 #: Relative rank error of the approximate quantiles that bound a median.
 _ACCURACY = 10_000
@@ -76,7 +77,7 @@ def add_features(cleaned: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
     if not any_large:
         return _judged(small)
-    large = rows.where(F.col("_m") > most).persist()
+    large = written(rows.where(F.col("_m") > most), "large")
     middle = group_median(large, "vendor_id", "amount_usd", "_med").join(group_median(large, "vendor_id", "_log", "_lmed"), "vendor_id")
     deviations = large.join(middle, "vendor_id").select("vendor_id", F.abs(F.col("_log") - F.col("_lmed")).alias("_d"))
     middle = middle.join(group_median(deviations, "vendor_id", "_d", "_lmad"), "vendor_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, pairs, rules, stats, vendors
 from ..settings import DEFAULT, Settings
+from ..sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -21,11 +22,11 @@ class Scored:
 def score(invoices: DataFrame, rates: DataFrame | None = None, settings: Settings = DEFAULT) -> Scored:
     """clean, match, compare with the vendor's usual, apply the rules. Rows with an id below 0 are new.
 
-    Every step reads the cleaned rows, so they are kept (in memory or on the executors' disks) instead of made anew.
+    Every step reads the cleaned rows, so they are written once, as are the pairs.
     """
-    cleaned = cleaning.clean(invoices, rates, settings).persist()
+    cleaned = written(cleaning.clean(invoices, rates, settings), "cleaned")
     found = pairs.candidates(cleaned, settings)
-    confirmed = pairs.new_side_last(pairs.confirm(found, settings))
+    confirmed = written(pairs.new_side_last(pairs.confirm(found, settings)), "pairs")
     featured = stats.add_features(cleaned, settings)
     return Scored(rules.apply_rules(featured, confirmed, settings, keys=cleaned), confirmed, found)
 
@@ -47,13 +48,13 @@ def recall_by_type(rows: DataFrame) -> DataFrame:
 def audit(vendor_table: DataFrame, invoices: DataFrame, rates: DataFrame | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """(results, vendors, invoices, summary): split vendors merged, all records scored.
 
-    results has invoice_row_id, final_score, risk_category, flags. The summary takes one pass over the cached scores.
+    results has invoice_row_id, final_score, risk_category, flags. The summary reads the written scores.
     """
     kept, moved, moves = vendors.merge_split_vendors(vendor_table, invoices)
     if not moved.head(1):
         return moved.select(F.col("id").alias("invoice_row_id"), F.lit(0.0).alias("final_score"), F.lit("").alias("risk_category"), F.lit("").alias("flags")), kept, moved, {"records": 0}
     done = score(moved, rates, settings)
-    rows = done.rows.persist()
+    rows = written(done.rows, "scored")
     tiers = {r[0]: r[1] for r in rows.groupBy("risk_category").count().collect()}
     summary = {
         "records": sum(tiers.values()),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import rules, vendors
 from ..settings import DEFAULT, Settings
+from ..sources.scratch import written
 from .audit import Scored, score
 
 INPUT = {"invoice_id": "string", "vendor_name": "string", "invoice_date": "date", "amount": "double", "currency": "string", "vendor_id": "string", "po_number": "string"}
@@ -98,17 +99,20 @@ def reasons(rows: DataFrame, related: DataFrame, settings: Settings = DEFAULT) -
 
 def check(history: DataFrame, vendor_table: DataFrame, new: DataFrame, rates: DataFrame | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(a result for each new invoice, first of the batch first; the records that each one copies)."""
-    rows = vendors.resolve_vendors(prepare(new), vendor_table, settings).persist()
+    rows = written(vendors.resolve_vendors(prepare(new), vendor_table, settings), "batch")
     past = relevant_history(history, rows, settings)
     done = score(past.unionByName(rows, allowMissingColumns=True), rates, settings)
-    done = Scored(done.rows.persist(), done.pairs, done.candidates)
-    related = related_records(done).persist()
+    done = Scored(written(done.rows, "scored"), done.pairs, done.candidates)
+    related = written(related_records(done), "related")
     found = done.rows.where("id < 0")
-    seen = past.select(F.col("vendor_id").alias("_v")).distinct().withColumn("_known", F.lit(True))
+    seen = done.rows.where("id > 0").select(F.col("vendor_id").alias("_v")).distinct().withColumn("_known", F.lit(True))
     found = found.join(seen, F.col("vendor_id") == F.col("_v"), "left").withColumn("known_vendor", F.coalesce("_known", F.lit(False)))
-    nearest = vendors.closest_vendors(found.where(~F.col("known_vendor")).select("vendor_name"), vendor_table, settings)
-    nearest = nearest.select(F.col("vendor_name").alias("_name"), "closest")
-    found = found.join(nearest, F.col("vendor_name") == F.col("_name"), "left")
+    strangers = found.where(~F.col("known_vendor")).select("vendor_name")
+    if strangers.head(1):
+        nearest = vendors.closest_vendors(strangers, vendor_table, settings).select(F.col("vendor_name").alias("_name"), "closest")
+        found = found.join(nearest, F.col("vendor_name") == F.col("_name"), "left")
+    else:
+        found = found.withColumn("closest", F.lit(None).cast("string"))
     if rates is None:
         found = found.withColumn("has_rate", F.col("currency").isin(*settings.rates))
     else:

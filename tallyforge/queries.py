@@ -12,7 +12,7 @@ from .functions.dates import parse_date
 from .operators import cleaning, pairs, rules, stats, vendors
 from .plans import audit, check, derive
 from .settings import DEFAULT, USD_RATES
-from .sources import ingest, store
+from .sources import ingest, scratch, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,7 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _featured(spark: SparkSession, sf_dir: str, large: bool = False) -> DataFrame:
     rows = cleaning.clean(derive.large_vendors(spark, sf_dir)) if large else _cleaned(spark, sf_dir)
-    return stats.add_features(rows.persist())
+    return stats.add_features(scratch.written(rows, "cleaned"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> audit.Scored:
@@ -88,16 +88,16 @@ def round_amounts(spark, sf_dir):
 
 
 def near_dup_candidates(spark, sf_dir):
-    return pairs.candidates(_cleaned(spark, sf_dir).persist()).select("i_id", "j_id", "by_block", "same_vendor")
+    return pairs.candidates(scratch.written(_cleaned(spark, sf_dir), "cleaned")).select("i_id", "j_id", "by_block", "same_vendor")
 
 
 def near_dup_candidate_count(spark, sf_dir):
-    found = pairs.candidates(_cleaned(spark, sf_dir).persist())
+    found = pairs.candidates(scratch.written(_cleaned(spark, sf_dir), "cleaned"))
     return found.agg(pairs.candidate_count(found).alias("candidates"), F.count(F.lit(1)).alias("pairs"))
 
 
 def near_dup_pairs(spark, sf_dir):
-    return pairs.confirm(pairs.candidates(_cleaned(spark, sf_dir).persist())).select("record_a_id", "record_b_id", *[F.round(c, 3).alias(c) for c in ("similarity_score", "levenshtein_score", "jaro_winkler_score")], "match_type")
+    return pairs.confirm(pairs.candidates(scratch.written(_cleaned(spark, sf_dir), "cleaned"))).select("record_a_id", "record_b_id", *[F.round(c, 3).alias(c) for c in ("similarity_score", "levenshtein_score", "jaro_winkler_score")], "match_type")
 
 
 def final_score(spark, sf_dir):
@@ -251,7 +251,7 @@ def check_batch(spark, sf_dir):
 
 def related_records(spark, sf_dir):
     done = _checked(spark, sf_dir)
-    return check.related_records(audit.Scored(done.rows.persist(), done.pairs, done.candidates)).where("match_type in ('exact', 'same number')").select("new_id", "record_id", "match_type", "invoice_id", "vendor_name", "invoice_date", F.round("amount", 2).alias("amount"))
+    return check.related_records(audit.Scored(scratch.written(done.rows, "scored"), done.pairs, done.candidates)).where("match_type in ('exact', 'same number')").select("new_id", "record_id", "match_type", "invoice_id", "vendor_name", "invoice_date", F.round("amount", 2).alias("amount"))
 
 
 def reasons_text(spark, sf_dir):
