@@ -96,6 +96,8 @@ def _blocks(a: np.ndarray) -> np.ndarray:
 def block_features(grey: np.ndarray, codec: Callable[[int], np.ndarray]) -> list[dict[str, float]]:
     """A row for each block with ink: 17 statistics of grey levels, compression errors, noise and edges, each as it is,
     relative to the image's inked median, and minus the mean of its 8 neighbours; bx, by and ink_share."""
+    if min(grey.shape) < BLOCK:
+        return []
     grey = grey.astype(np.float32)
     around = _windows(grey)
     maps = {f"ela{q}": np.abs(grey - codec(q)) for q in QUALITIES}
@@ -104,8 +106,6 @@ def block_features(grey: np.ndarray, codec: Callable[[int], np.ndarray]) -> list
     edge[[0, -1], :], edge[:, [0, -1]] = grey[[0, -1], :], grey[:, [0, -1]]
     maps["edge"] = edge
     cells = _blocks(grey)
-    if not cells.size:
-        return []
     stats = {"gray_std": cells.std(2), "gray_mean": cells.mean(2)}
     for name, m in maps.items():
         b = _blocks(m)

@@ -111,9 +111,9 @@ def weighted_ratio(a: str, b: str, least: float = 0.0) -> float:
     scale = 0.9 if apart <= 8 else 0.6
     if {*a.split()} & {*b.split()}:
         best = max(best, 0.95 * scale)
-    elif 0.95 * scale > max(best, least):
+    elif 0.95 * scale >= max(best, least):
         best = max(best, 0.95 * scale * partial_token_ratio(a, b))
-    return max(best, scale * partial_ratio(a, b)) if scale > max(best, least) else best
+    return max(best, scale * partial_ratio(a, b)) if scale >= max(best, least) else best
 
 
 class Choices:

@@ -192,7 +192,7 @@ def store(spark, tmp_path_factory):
 def test_check_end_to_end(spark, store):
     new = spark.createDataFrame([(a, b, c, str(d), *(e or [None])) for a, b, c, d, *e in [
         ("INV-0011", "Acme Supplies Ltd", "2024-03-18", 1010.0), ("INV0012", "ACME SUPPLIES", "2024-03-25", 1020.0), ("INV-9001", "Acme Supplies Ltd", "2025-03-03", 5000.0), ("INV-9002", "Acme Supplies Ltd", "2025-03-10", 1020.0),
-        ("Q-1", "Quartz Rentals", "2025-03-01", 77.0), ("INV-0020", "Acme Supplies Ltd", "2024-05-20", 1070.0), ("INV 0030", "THE Acme Supplies", "2024-07-29", 1000.0), ("Q-1", "Quartz Rentals", "2025-03-01", 77.0), ("X-1", "Akme Suply", "2025-03-02", 5.0, "XYZ"),
+        ("Q-1", "Quartz Rentals", "2025-03-01", 77.0), ("INV-0020", "Acme Supplies Ltd", "2024-05-20", 1070.0), ("INV 0030", "THE Acme Supplies", "2024-07-29", 1000.0), ("Q-1", "Quartz Rentals", "2025-03-01", 77.0), ("X-1", "Akme Suplies", "2025-03-02", 5.0, "XYZ"),
     ]], "invoice_id string, vendor_name string, invoice_date string, amount string, currency string")
     results, related = store.check(new)
     got = results.persist().collect()
