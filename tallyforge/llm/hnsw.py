@@ -293,3 +293,16 @@ def nearest(rows: DataFrame, queries: Column, vec_id: str = "vec_id", vector: st
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+#: Brute force in the same measure. On small tables a shard's search reaches all its nodes, so the results are equal.
+OP8_SQL = """
+WITH v AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda s, t: s + t)) AS n
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0)
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda s, t: s + t) / (q.n * c.n) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op3_warc_merkle_fixity": warc_fixity.OP3_SQL,
+    "op8_hnsw_neighbours": hnsw.OP8_SQL,
 }

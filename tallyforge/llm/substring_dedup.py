@@ -19,7 +19,8 @@ from .common import small_batches, stash
 
 #: Sentences of a run, the words it has at least, and the words from which a shorter run counts as well.
 SPAN, MIN_WORDS, LONG_WORDS = 3, 10, 40
-_SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=[\t\x0b\x0c\r ]|\n|\Z)[\t\x0b\x0c\r \n]*|[^\n]+\n*|\n+", re.S)
+#: A run of marks is entered at its first one only and never given back, so that long runs of them take linear time.
+_SENTENCE = re.compile(r"[^\n]*?(?<![.!?])[.!?]++(?=[\t\x0b\x0c\r ]|\n|\Z)[\t\x0b\x0c\r \n]*|[^\n]+\n*|\n+", re.S)
 _SPAN_SCHEMA = "doc_id long, text_hash long, h1 long, h2 long, at int, len int"
 
 
@@ -136,3 +137,25 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_repeats(docs)
+
+
+#: The words of a sentence as str.split() sees them, and sentence ends; U+F0000 marks a cut.
+_BLANKS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+OP1_SQL = rf"""
+WITH cut AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]+[\t\x0b\x0c\r \n]+|\n+)', '\1' || chr(983040), 'g'), chr(983040)), lambda p: p <> '') AS parts FROM documents),
+part AS MATERIALIZED (SELECT doc_id, i - 1 AS i, parts[i] AS p, trim(regexp_replace(parts[i], '{_BLANKS}', ' ', 'g')) AS w FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)),
+word AS (SELECT doc_id, i, w, len(string_split(w, ' ')) AS n FROM part WHERE w <> ''),
+near AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY doc_id) AS m, lead(i) OVER o AS i1, lead(n) OVER o AS n1, lead(w) OVER o AS w1, lead(i, 2) OVER o AS i2, lead(n, 2) OVER o AS n2, lead(w, 2) OVER o AS w2
+  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+run AS (
+  SELECT doc_id, i AS a, i2 AS z, concat_ws(' ', w, w1, w2) AS t FROM near WHERE i2 IS NOT NULL AND n + n1 + n2 >= {MIN_WORDS}
+  UNION ALL SELECT doc_id, i, coalesce(i1, i), concat_ws(' ', w, w1) FROM near WHERE k = 1 AND m < {SPAN} AND n + coalesce(n1, 0) >= {MIN_WORDS}
+  UNION ALL SELECT doc_id, i, i, w FROM near WHERE n >= {LONG_WORDS} AND m > 1
+  UNION ALL SELECT doc_id, i, i1, concat_ws(' ', w, w1) FROM near WHERE n < {LONG_WORDS} AND n + n1 >= {LONG_WORDS} AND m >= {SPAN}),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM (SELECT doc_id, a, z, row_number() OVER (PARTITION BY t ORDER BY doc_id, a) AS r FROM run) WHERE r > 1),
+done AS (
+  SELECT doc_id, string_agg(p, '' ORDER BY i) FILTER (g IS NULL) AS left_text, count(*) FILTER (w <> '') AS n, count(*) FILTER (w <> '' AND g IS NOT NULL) AS r
+  FROM part LEFT JOIN (SELECT doc_id, i, 1 AS g FROM gone) USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(left_text, '') END AS text, coalesce(n, 0)::INTEGER AS n_sentences, coalesce(r, 0)::INTEGER AS n_removed
+FROM documents LEFT JOIN done USING (doc_id)
+"""

@@ -74,6 +74,12 @@ def test_long_passage_of_few_sentences(spark):
     assert passage in got[1] and passage not in got[2]
 
 
+def test_sentences_of_long_runs_of_marks():
+    for t in ("." * 300_000 + "x", "a.?!" * 100_000, "..! b.. c.\n\n d?!\te"):
+        assert "".join(substring_dedup.sentences(t)) == t
+    assert substring_dedup.sentences("..! b.. c.d\n\n e?!\tf") == ["..! ", "b.. ", "c.d\n\n", " e?!\t", "f"]
+
+
 def test_substring_dedup_awkward_rows(spark, odd):
     out = substring_dedup.drop_repeats(odd.withColumns({"spans": F.lit(1), "text_hash": F.lit(2), "N_removed": F.lit(3)})).collect()
     assert len(out) == odd.count()
