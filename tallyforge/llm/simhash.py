@@ -89,6 +89,15 @@ def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     return stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
 
 
+def class_components(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of rows (doc_id, fp). classes: fp and its least doc_id; links: of fps."""
+    found = stash(connected_components(links), "found")
+    roots = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(ids, "root").select(F.col("fp").alias("f"), "component_id")
+    return rows.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; component_id is the least doc_id that links reach.
 
@@ -98,11 +107,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     rows = stash(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", shingle=shingle).drop("_text"), "fps")
     classes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = stash(connected_components(fingerprint_links(classes)), "found")
-    roots = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(ids, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
+    return class_components(rows, classes, fingerprint_links(classes))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -40,3 +40,32 @@ def test_stages_on_planted_cases(spark, tmp_path):
 def test_run_on_an_empty_table(spark, tmp_path):
     table(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_from_similarity_0_8(spark):
+    """Copies of similarity 0.8 to 0.95 go, in pairs and in one large group; less similar ones stay."""
+    import random
+
+    from tallyforge.llm import near_copies
+
+    r = random.Random(12)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    docs, gone, edits = [], set(), 0
+    for i in range(80):
+        words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        copy = list(words)
+        for at in r.sample(range(0, 300, 5), r.randint(2, 9)):
+            copy[at] = f"x{edits}"
+            edits += 1
+        a, b = " ".join(words), " ".join(copy)
+        docs += [(2 * i, a), (2 * i + 1, b)]
+        if len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) >= 0.8:
+            gone.add(2 * i + 1)
+    crowd = [f"c{k}" for k in range(300)]
+    for i in range(60):
+        docs.append((1000 + i, " ".join([*crowd[: i * 4], f"y{i}", *crowd[i * 4 + 1 :]])))
+    gone |= {1001 + i for i in range(59)}
+    assert 30 < len(gone - set(range(1000, 2000))) < 80
+    kept = {x.doc_id for x in pipeline.simhash_near_dedup(spark, table(spark, docs), "").collect()}
+    assert {d for d, _ in docs} - kept == gone
+    assert near_copies.similarity(near_copies.shingle_set(None), near_copies.shingle_set(" ")) == 1.0
