@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from .common import small_batches, stash
 
-#: Sentences of a run, the words it has at least, and the words from which a shorter run counts as well.
+#: Sentences of a run, the words it has at least in op1 (its SQL fixes them), and the words from which a shorter run
+#: counts as well.
 SPAN, MIN_WORDS, LONG_WORDS = 3, 10, 40
 #: A run of marks is entered at its first one only and never given back, so that long runs of them take linear time.
 _SENTENCE = re.compile(r"[^\n]*?(?<![.!?])[.!?]++(?=[\t\x0b\x0c\r ]|\n|\Z)[\t\x0b\x0c\r \n]*|[^\n]+\n*|\n+", re.S)
@@ -29,7 +30,7 @@ def sentences(text: str | None) -> list[str]:
     return _SENTENCE.findall(text) if text else []
 
 
-def runs(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int, str]]:
+def runs(parts: list[str], span: int = SPAN, min_words: int = 1, long_words: int = LONG_WORDS) -> list[tuple[int, int, str]]:
     """(first sentence, number of sentences, words with single spaces) of the runs that count.
 
     From each sentence: the run of span sentences if it has min_words words, and the shortest run below span sentences
@@ -54,7 +55,7 @@ def runs(parts: list[str], span: int = SPAN, min_words: int = MIN_WORDS, long_wo
     return out
 
 
-def sentence_runs(docs: DataFrame) -> DataFrame:
+def sentence_runs(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """A row for each run of each row of docs (doc_id, text): 128 bits of hash, first sentence, number of sentences."""
     small_batches(docs.sparkSession)
 
@@ -73,7 +74,7 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for doc, own, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
-                for at, size, words in runs(sentences(text)):
+                for at, size, words in runs(sentences(text), min_words=min_words):
                     h = digest(words.encode("utf-8", "surrogatepass"))
                     for c, v in zip(cols, (doc, own, signed(h & low), signed(h >> 64), at, size), strict=True):
                         c.append(v)
@@ -85,13 +86,13 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(each, _SPAN_SCHEMA)
 
 
-def repeated_sentences(docs: DataFrame) -> DataFrame:
+def repeated_sentences(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """(doc_id, text_hash, spans): for each text that has any, the runs [start, sentences] that occurred before.
 
     The first occurrence is the one of the least doc_id, then the earliest in its text (and of the least text hash,
     where rows share a doc_id). Whole repeated rows are one text: their runs are not repeats of each other.
     """
-    spans = stash(sentence_runs(docs), "spans")
+    spans = stash(sentence_runs(docs, min_words), "spans")
     here = F.struct("doc_id", "text_hash", "at")
     seen = spans.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last"))
     seen = seen.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
@@ -99,7 +100,7 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "len")).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """docs with text stripped of repeated sentences, and n_sentences and n_removed (null text: 0 and 0).
 
     Texts without a repeat are unchanged to the last byte; from others whole sentences go, with the white space behind
@@ -110,7 +111,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
     doc_id, text = F.col(f"_c{names.index('doc_id')}"), F.col(f"_c{names.index('text')}")
-    found = repeated_sentences(plain.select(doc_id.cast("long").alias("doc_id"), text.alias("text")))
+    found = repeated_sentences(plain.select(doc_id.cast("long").alias("doc_id"), text.alias("text")), min_words)
     plain = plain.withColumn("_h", F.xxhash64(text))
     joined = plain.join(found, doc_id.eqNullSafe(found["doc_id"]) & (F.col("_h") == found["text_hash"]), "left")
 
@@ -136,7 +137,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_repeats(docs)
+    return drop_repeats(docs, MIN_WORDS)
 
 
 #: The words of a sentence as str.split() sees them, and sentence ends; U+F0000 marks a cut.

@@ -74,6 +74,12 @@ def test_long_passage_of_few_sentences(spark):
     assert passage in got[1] and passage not in got[2]
 
 
+def test_short_runs_are_repeats_too(spark):
+    docs = [(1, "Yes. No. So be it. " + prose(1)), (2, prose(2) + " Yes. No. So be it."), (3, "Quite so."), (4, "Quite so.")]
+    got = {r.doc_id: r.text for r in substring_dedup.drop_repeats(table(spark, docs)).collect()}
+    assert got == brute_dedup(docs) and got[1] == docs[0][1] and "So be it" not in got[2] and got[3] and got[4] == ""
+
+
 def test_sentences_of_long_runs_of_marks():
     for t in ("." * 300_000 + "x", "a.?!" * 100_000, "..! b.. c.\n\n d?!\te"):
         assert "".join(substring_dedup.sentences(t)) == t
