@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import free_name, small_batches, stash
 
-#: Hashed trigrams of a model: with at most MAX_LANGUAGES models, at most half a million counts reach the driver.
-BUCKETS, MAX_LANGUAGES = 1 << 15, 16
-#: Priors are broadcast up to this many hosts; beyond it they are joined by a shuffle.
-BROADCAST_HOSTS = 20_000
+#: Hashed trigrams of a model: at most so many counts of each language reach the driver.
+BUCKETS = 1 << 15
+#: Priors are broadcast up to this many counts (hosts x languages); beyond it they are joined by a shuffle.
+BROADCAST_COUNTS = 320_000
+#: Declarations that name no language.
+NO_LANGUAGE = ("mis", "mul", "und", "zxx")
 #: The language that a country's address suffix suggests.
 SUFFIX_LANGUAGE = {"at": "de", "de": "de", "es": "es", "fr": "fr", "ie": "en", "it": "it", "mx": "es", "nl": "nl", "pl": "pl", "pt": "pt", "ru": "ru", "uk": "en", "us": "en"}
 
@@ -83,46 +85,60 @@ def declared_of(markup: Column) -> Column:
     return F.when(lang != "", lang)
 
 
+def primary_of(tag: Column) -> Column:
+    """The lower-cased primary subtag of a language tag (en-GB, pt_BR); null where it has none that names a language."""
+    first = F.regexp_extract(F.lower(F.trim(tag)), r"^([a-z]{2,3}|[a-z]{5,8})(?:[-_].*)?$", 1)
+    return F.when((first != "") & ~first.isin(*NO_LANGUAGE), first)
+
+
 def languages(rows: DataFrame) -> dict[str, int]:
-    """The languages that rows declare most often, MAX_LANGUAGES at most, with their counts, in order of name."""
-    top = rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()
-    return dict(sorted((r[0], r[1]) for r in top))
+    """All languages that rows declare, with their counts, in order of name."""
+    return dict(sorted((r[0], r[1]) for r in rows.where("declared is not null").groupBy("declared").count().collect()))
 
 
 def text_model(rows: DataFrame, counts: dict[str, int], sample: int) -> np.ndarray:
     """Log odds of each bucket (BUCKETS x languages), from a hash sample of about `sample` rows a language, whole texts."""
     names = [*counts]
-    rate = F.lit(0.0)
-    for name in names:
-        rate = F.when(F.col("declared") == name, F.lit(min(1.0, sample / counts[name]))).otherwise(rate)
+    rates = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, sample / counts[name]))])
+    rate = F.coalesce(F.try_element_at(rates, F.col("declared")), F.lit(0.0))
     chosen = rows.where((F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 20)) < rate * (1 << 20)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        number = {name: k for k, name in enumerate(names)}
+        total: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for k, name in enumerate(names):
-                texts = pdf["text"][pdf["declared"] == name].tolist()
+            for name, group in pdf.groupby("declared"):
+                texts, k = group["text"].tolist(), number[name]
                 for i in range(0, len(texts), 256):
-                    total[k] += np.bincount(trigrams(texts[i : i + 256])[0], minlength=BUCKETS)
-        k, b = np.nonzero(total)
-        yield pd.DataFrame({"k": k.astype(np.int32), "b": b.astype(np.int32), "n": total[k, b]})
+                    total[k] = total.get(k, 0) + np.bincount(trigrams(texts[i : i + 256])[0], minlength=BUCKETS)
+        for k, n in total.items():
+            b = np.flatnonzero(n)
+            yield pd.DataFrame({"k": np.full(len(b), k, np.int32), "b": b.astype(np.int32), "n": n[b]})
 
     found = chosen.select("declared", "text").mapInPandas(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((BUCKETS, len(names)), 0.05)
     table[found["b"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
-    return np.log(table / table.sum(0))
+    table /= table.sum(0)
+    return np.log(table, out=table)
 
 
 def host_counts(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[float]]:
     """(host, host_n, suffix_n: counts by language; counts by language of all rows). Rows are counted by (host, language)
     first, so a host with most rows is summed map-side."""
-    known = rows.where(F.col("declared").isin(names)).groupBy("host", "suffix", "declared").count()
-    sums = [F.coalesce(F.sum(F.when(F.col("declared") == n, F.col("count"))), F.lit(0)).cast("double") for n in names]
-    hosts = stash(known.where("host is not null").groupBy("host", "suffix").agg(F.array(*sums).alias("host_n")), "hosts")
-    by_suffix = hosts.groupBy("suffix").agg(F.array(*[F.sum(F.col("host_n")[i]) for i in range(len(names))]).alias("suffix_n"))
-    joined = hosts.join(by_suffix.withColumnRenamed("suffix", "_x"), F.col("suffix").eqNullSafe(F.col("_x"))).select("host", "host_n", "suffix_n")
-    overall = known.agg(*sums).first()
-    return joined, [float(x) for x in overall]
+    known = stash(rows.where("declared is not null").groupBy("host", "suffix", "declared").count(), "known")
+
+    def by_name(counts: DataFrame, *group: str) -> DataFrame:
+        found = counts.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("declared", "count"))).alias("_m"))
+        listed = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("_m", n), F.lit(0)).cast("double"))
+        return found.select(*group, listed.alias("_n"))
+
+    named = known.where("host is not null")
+    hosts = stash(by_name(named, "host", "suffix").withColumnRenamed("_n", "host_n"), "hosts")
+    wider = named.groupBy("suffix", "declared").agg(F.sum("count").alias("count"))
+    by_suffix = by_name(wider, "suffix").select(F.col("suffix").alias("_x"), F.col("_n").alias("suffix_n"))
+    joined = hosts.join(by_suffix, F.col("suffix").eqNullSafe(F.col("_x"))).select("host", "host_n", "suffix_n")
+    overall = {r[0]: r[1] for r in known.groupBy("declared").agg(F.sum("count")).collect()}
+    return joined, [float(overall.get(n, 0)) for n in names]
 
 
 def posterior(log_text: np.ndarray, n: np.ndarray, declared: np.ndarray, suffix: np.ndarray, host_n: np.ndarray, suffix_n: np.ndarray, all_n: np.ndarray, s: Settings) -> np.ndarray:
@@ -163,13 +179,14 @@ def identify(docs: DataFrame, text: Column, declared: Column, address: Column, s
     s = settings
     names_in = docs.columns
     host = host_of(address)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names_in)], text.alias("text"), F.lower(F.trim(declared)).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names_in)], text.alias("text"), primary_of(declared).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"))
     counts = languages(rows)
     names = [*counts]
     k = len(names)
     if k:
         model, (hosts, all_n) = text_model(rows, counts, s.sample), host_counts(rows, names)
-        small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+        most = max(1, BROADCAST_COUNTS // k)
+        small = hosts.limit(most + 1).count() <= most
         rows = rows.join(F.broadcast(hosts) if small else hosts, "host", "left")
     else:
         model, all_n = np.zeros((BUCKETS, 0)), []

@@ -332,6 +332,17 @@ def test_language_fuses_evidence(spark):
     assert out.columns == [*docs.columns, "_language", "host"] and 904 not in {r.doc_id for r in out.collect()}
 
 
+def test_every_declared_language_has_a_model(spark):
+    r = random.Random(13)
+    tags = [f"{a}{b}" for a in "qrst" for b in "abcdef"]
+    own = {t: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(30)] for t in tags}
+    text = lambda t: " ".join(r.choice(own[t]) for _ in range(60))
+    rows = [(100 * k + i, text(t), (t, f" {t.upper()}-GB", f"{t}_x")[i % 3], "h") for k, t in enumerate(tags) for i in range(12 if k < 20 else 6)]
+    rows += [(9000 + k, text(t), "und", "h") for k, t in enumerate(tags)]
+    got = {x.doc_id: x.language for x in language_id.identify(table(spark, rows), F.col("text"), F.col("lang"), F.col("source")).collect()}
+    assert all(got[100 * k].lang == got[100 * k + 1].lang == got[9000 + k].lang == t and got[9000 + k].kept for k, t in enumerate(tags))
+
+
 def test_language_posterior_by_hand():
     s = language_id.Settings(effective=1e9, undetermined=0.0 + 1e-12, trust=0.8, smoothing=2.0)
     p = language_id.posterior(np.log([[0.2, 0.1]]), np.array([1]), np.array([0]), np.array([-1]), np.array([[3.0, 1.0]]), np.array([[5.0, 5.0]]), np.array([9.0, 11.0]), s)[0]
