@@ -1,6 +1,6 @@
 """Merkle fixity audit of WARC replicas.
 
-Records are hashed, and so is every range of offsets: a leaf covers the records of a range of keys, in order, and each
+Records are hashed, and so is every range of offsets: a leaf covers about as many records as any other, in order of their keys, and each
 node above covers FAN nodes. Two replicas whose roots agree hold the same bytes; otherwise the audit descends, level by
 level, only below nodes that differ, and compares single records in the leaves it ends in.
 """
@@ -13,8 +13,10 @@ from pyspark.sql import Window as W
 
 from .common import stash
 
-#: Keys of a leaf (about), and bits of fan-out: a node covers 16.
+#: Records of a leaf (about, of all sides), and bits of fan-out: a node covers 16.
 LEAF, BITS = 64, 4
+#: Keys (about) of a range that one task counts.
+KEYS_OF_A_RANGE = 50_000
 
 
 def warc_record(url: Column, payload: Column) -> Column:
@@ -32,20 +34,24 @@ def _records(replica: DataFrame, key: str, record: Column, side: str) -> DataFra
 
 
 def _leaves(records: DataFrame) -> DataFrame:
-    """records with the number of their leaf. Null keys come first. A range with far more records than LEAF, as where
-    many records share a key, is cut further by their digests."""
-    lo, hi, n = records.agg(F.min("key"), F.max("key"), F.approx_count_distinct("key")).first()
-    span = max(1, LEAF * (hi - lo + 1) // max(1, n)) if n else 1
-    ranged = records.withColumn("range", F.when(F.col("key").isNull(), F.lit(0)).otherwise(1 + F.floor((F.col("key") - F.lit(lo or 0)) / F.lit(span))).cast("long"))
-    crowds = ranged.groupBy("range").count().where(F.col("count") > 16 * LEAF).select("range", (F.col("count") / LEAF).cast("long").alias("cuts"))
-    most = crowds.agg(F.max("cuts")).first()[0]
-    if most is None:
-        return ranged.withColumnRenamed("range", "node")
-    shift = BITS
-    while 1 << shift < most:
-        shift += BITS
-    cut = F.coalesce(F.pmod(F.xxhash64("digest"), F.col("cuts")), F.lit(0))
-    return ranged.join(crowds, "range", "left").withColumn("node", F.shiftleft("range", shift) + cut).drop("range", "cuts")
+    """records with the number of their leaf, in order of key (null first) and digest, the same for all sides.
+
+    A key begins where the records of the keys before it end, counted over all sides; leaves are LEAF places wide. Keys
+    are dealt by ranges and counted inside each, so far-off keys change nothing. A key with more records than a leaf has
+    places is cut further by the leading digits of its digests, which keeps their order.
+    """
+    keys = stash(records.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
+    parts = max(1, -(-keys.count() // KEYS_OF_A_RANGE))
+    dealt = stash(keys.repartitionByRange(parts, F.col("key").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "ranges")
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = dealt.groupBy("part").agg(F.sum("n").alias("m")).select(F.col("part").alias("_p"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
+    inside = W.partitionBy("part").orderBy(F.col("key").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    at = dealt.withColumn("skip", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, F.col("part") == F.col("_p"))
+    at = at.select(F.col("key").alias("_k"), "n", (F.col("base") + F.col("skip")).alias("place"))
+    lead = F.conv(F.substring("digest", 1, 7), 16, 10).cast("long")
+    within = F.when(F.col("n") > LEAF, F.shiftright(lead * F.col("n"), 28)).otherwise(F.lit(0))
+    placed = records.join(at, F.col("key").eqNullSafe(F.col("_k")))
+    return placed.withColumn("node", F.floor((F.col("place") + within) / F.lit(LEAF)).cast("long")).drop("_k", "n", "place")
 
 
 def merkle_levels(records: DataFrame) -> list[DataFrame]:
@@ -93,8 +99,7 @@ def fixity_audit(original: DataFrame, replica: DataFrame, key: str, record: Colu
 
     status: intact (its leaf's hashes agree, or the record is there), corrupt (the key is there with other bytes),
     missing, or extra (offset null). Records stand in order of key (null first) and digest; equal records of one key
-    are one row with their number of copies; a copy too few or too many makes a record corrupt. Where one range of
-    keys is so crowded that digests cut it, a changed record counts as one missing and one extra. Empty tables give no
+    are one row with their number of copies; a copy too few or too many makes a record corrupt. Empty tables give no
     rows of their side.
     """
     both = stash(_records(original, key, record, "a").union(_records(replica, key, record, "b")), "records")
@@ -107,13 +112,13 @@ def fixity_audit(original: DataFrame, replica: DataFrame, key: str, record: Colu
     fine = a.join(bad, "node", "left_anti").select("key", "offset", "length", "digest", "copies", F.col("node").alias("leaf"), F.lit(None).cast("string").alias("found_digest"), F.lit("intact").alias("status"))
     mine = a.join(bad, "node", "left_semi").select("node", "key", "digest", "length", "copies", "offset")
     theirs = placed.where("side = 'b'").join(bad, "node", "left_semi").select(*[F.col(c).alias(f"b_{c}") for c in ("node", "key", "digest", "length", "copies")])
-    # What matches goes out first; of what is left, records of one key are paired by the order of their digests.
+    # What matches goes out first; of what is left in all leaves, records of one key are paired by the order of their digests.
     same = mine.join(theirs, (F.col("node") == F.col("b_node")) & F.col("key").eqNullSafe(F.col("b_key")) & (F.col("digest") == F.col("b_digest")) & (F.col("copies") == F.col("b_copies")), "full")
     same = stash(same, "compared")
     whole = same.where("digest is not null and b_digest is not null").select("key", "offset", "length", "digest", "copies", F.col("node").alias("leaf"), F.lit(None).cast("string").alias("found_digest"), F.lit("intact").alias("status"))
-    left = same.where("b_digest is null").select("node", "key", "digest", "length", "copies", "offset", F.row_number().over(W.partitionBy("node", "key").orderBy("digest")).alias("k"))
-    right = same.where("digest is null").select(*[f"b_{c}" for c in ("node", "key", "digest", "length", "copies")], F.row_number().over(W.partitionBy("b_node", "b_key").orderBy("b_digest")).alias("b_k"))
-    odd = left.join(right, (F.col("node") == F.col("b_node")) & F.col("key").eqNullSafe(F.col("b_key")) & (F.col("k") == F.col("b_k")), "full")
+    left = same.where("b_digest is null").select("node", "key", "digest", "length", "copies", "offset", F.row_number().over(W.partitionBy("key").orderBy("digest", "copies")).alias("k"))
+    right = same.where("digest is null").select(*[f"b_{c}" for c in ("node", "key", "digest", "length", "copies")], F.row_number().over(W.partitionBy("b_key").orderBy("b_digest", "b_copies")).alias("b_k"))
+    odd = left.join(right, F.col("key").eqNullSafe(F.col("b_key")) & (F.col("k") == F.col("b_k")), "full")
     status = F.when(F.col("b_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
     odd = odd.select(*[F.when(F.col("digest").isNull(), F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in ("key",)], "offset", *[F.coalesce(c, f"b_{c}").alias(c) for c in ("length", "digest", "copies")], F.coalesce("node", "b_node").alias("leaf"), F.when(F.col("digest").isNotNull(), F.col("b_digest")).alias("found_digest"), status.alias("status"))
     return fine.union(whole).union(odd)

@@ -1,5 +1,6 @@
 """The operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -168,6 +169,18 @@ def test_fixity_of_crowded_keys_and_empty_tables(spark):
     assert audit(a.limit(0), a.limit(0)) == [] and {r[0]: r[1] for r in audit(a.limit(3), a.limit(0))} == {"missing": 3}
 
 
+def test_fixity_of_altered_records_among_far_and_crowded_keys(spark):
+    rows = [(i, "u", f"p{i}") for i in range(3000)] + [(10**12, "u", "far"), (-(2**63), "u", "least"), (2**63 - 1, "u", "most")] + [(5000, "u", f"q{i}") for i in range(2000)] + [(None, "u", "z")]
+    a = spark.createDataFrame(rows, "page_id long, url string, html string")
+    altered = {"p7", "p2999", "far", "q77", "z"}
+    b = spark.createDataFrame([(k, u, h + "!" if h in altered else h) for k, u, h in rows], a.schema)
+    out = warc_fixity.fixity_audit(a, b, "page_id", warc_fixity.warc_record(F.col("url"), F.col("html"))).collect()
+    assert sorted((r.key or -1) for r in out if r.status == "corrupt") == [-1, 7, 2999, 5000, 10**12] and {r.status for r in out} == {"intact", "corrupt"}
+    order = sorted(out, key=lambda r: (r.key is not None, r.key or 0, r.digest))
+    assert [r.offset for r in order] == [0, *itertools.accumulate(r.length for r in order)][:-1] and len(order) == len(rows)
+    assert max(collections.Counter(r.leaf for r in out).values()) <= 2 * warc_fixity.LEAF
+
+
 # BPE
 
 
