@@ -1,7 +1,7 @@
 """K-d tree sharding: recursive splits at distributed weighted medians along the widest metadata dimension.
 
 Rows' metadata (no texts) are a table. On each level one aggregate measures every open node's extent in each dimension;
-then histograms of bytes narrow its cut, in a few passes over all nodes at once: first along the dimension, then, among
+then histograms of bytes narrow its cut, in passes over all nodes at once: first along the dimension to one value, then, among
 rows that tie there, along a hash. Only histograms reach the driver: nodes x BINS rows, whatever the corpus holds.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import ranked, stash, unstash
 
-#: Bins of a histogram, and the passes that narrow a cut along a dimension and along the hash.
-BINS, PASSES, TIE_PASSES = 512, 3, 2
+#: Bins of a histogram, and the passes that narrow a cut along the hash.
+BINS, TIE_PASSES = 512, 2
 _TIE = 1 << 40
 
 
@@ -41,8 +41,9 @@ def _per_node(nodes: dict[int, object], make) -> Column:
     return out
 
 
-def _histogram(rows: DataFrame, nodes: dict[int, tuple], value) -> dict[int, dict[int, int]]:
-    """Bytes by node and bin. nodes: node -> (what, low, high); value(what): a Column; bin -1 is below low, BINS above."""
+def _histogram(rows: DataFrame, nodes: dict[int, tuple], value, extent: bool = False) -> dict[int, dict[int, object]]:
+    """Bytes by node and bin; with extent, (bytes, least, greatest value). nodes: node -> (what, low, high); value(what):
+    a Column; bin -1 is below low, BINS above."""
     def place(x):
         what, low, high = x
         v = value(what)
@@ -50,10 +51,12 @@ def _histogram(rows: DataFrame, nodes: dict[int, tuple], value) -> dict[int, dic
         inner = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((v - F.lit(low)) / F.lit(width)).cast("int")))
         return F.when(v < F.lit(low), -1).when(v > F.lit(high), BINS).otherwise(inner)
 
-    found = rows.where(F.col("_node").isin([*nodes])).groupBy("_node", _per_node(nodes, place).cast("int").alias("_bin")).agg(F.sum("_size").alias("_m"))
-    out: dict[int, dict[int, int]] = {n: {} for n in nodes}
-    for n, b, m in found.where("_bin is not null").collect():
-        out[n][b] = m
+    found = rows.where(F.col("_node").isin([*nodes])).groupBy("_node", _per_node(nodes, place).cast("int").alias("_bin"))
+    at = _per_node(nodes, lambda x: value(x[0]))
+    found = found.agg(F.sum("_size").alias("_m"), *[f(at).cast("double").alias(c) for f, c in ((F.min, "_lo"), (F.max, "_hi")) if extent])
+    out: dict[int, dict[int, object]] = {n: {} for n in nodes}
+    for n, b, m, *ends in found.where("_bin is not null").collect():
+        out[n][b] = (m, *ends) if extent else m
     return out
 
 
@@ -90,15 +93,25 @@ def cuts(rows: DataFrame, dims: list[str], nodes: dict[int, float]) -> dict[int,
             wide = [(r[f"s{i}"] or 0) / overall[f"s{i}"] if overall[f"s{i}"] else 0.0 for i in range(len(dims))]
             i = wide.index(max(wide))
             open_[node], want[node] = (dims[i], float(r[f"lo{i}"]), float(r[f"hi{i}"])), share * r["m"]
-    for _ in range(PASSES):
-        bins = _histogram(rows, open_, F.col)
-        open_ = {n: (d, *_narrow(lo, hi, bins[n], want[n])) for n, (d, lo, hi) in open_.items()}
     values = {n: d for n, (d, _, _) in open_.items()}
-    # The value that the cut falls on: the largest at or below the last bin that some row of the node has.
-    exact = rows.where(F.col("_node").isin([*open_])).where(_per_node(open_, lambda x: F.col(x[0]) <= F.lit(x[2]))).groupBy("_node").agg(F.max(_per_node(open_, lambda x: F.col(x[0]))).alias("v"))
-    at = {r[0]: float(r[1]) for r in exact.collect()}
-    below = rows.where(F.col("_node").isin([*at])).groupBy("_node").agg(F.sum(F.when(_per_node(at_dims := {n: (values[n], v) for n, v in at.items()}, lambda x: F.col(x[0]) < F.lit(x[1])), F.col("_size")).otherwise(0)).alias("b"))
-    left = {r[0]: r[1] for r in below.collect()}
+    at: dict[int, float] = {}
+    left: dict[int, int] = {}
+    # Bounds close in on values that rows have, however far apart they lie, until one value is left: the cut's.
+    while open_:
+        found_in = _histogram(rows, open_, F.col, extent=True)
+        for n, (d, lo, hi) in [*open_.items()]:
+            below = found_in[n].get(-1, (0, lo, lo))[0]
+            for k in sorted(k for k in found_in[n] if 0 <= k < BINS):
+                more, first, last = found_in[n][k]
+                if below + more >= want[n]:
+                    break
+                below += more
+            if first < last and (first, last) != (lo, hi):
+                open_[n] = (d, first, last)
+            else:
+                at[n], left[n] = last, below
+                del open_[n]
+    at_dims = {n: (values[n], v) for n, v in at.items()}
     tied = rows.where(_per_node(at_dims, lambda x: F.col(x[0]) == F.lit(x[1])))
     ties = {n: ("_tie", 0.0, float(_TIE)) for n in at}
     for k in range(TIE_PASSES):

@@ -435,6 +435,13 @@ def test_kd_shards_are_even_and_gapless(spark):
         assert slots == list(range(len(slots)))
 
 
+def test_kd_shards_are_even_with_far_ids(spark):
+    for ids in ([*range(1500), 10**15], [*range(1000), *(2**62 + 2**40 * i for i in range(600))]):
+        rows = spark.createDataFrame([(i, 10) for i in ids], "id long, size int")
+        sums = [r[1] for r in kd_sharding.kd_shards(rows, ["id"], "size", ["id"], 4).groupBy("shard").sum("size").collect()]
+        assert len(sums) == 4 and max(sums) - min(sums) <= 30
+
+
 def test_kd_awkward_rows(spark, odd):
     out = kd_sharding.shard_documents(odd).collect()
     assert len(out) == odd.count() and all(0 <= x.shard < 8 for x in out) and [x.size for x in out if x.doc_id == 1] == [1] and [x.text_crc32 for x in out if x.doc_id == 1] == [0]
