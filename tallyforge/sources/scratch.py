@@ -12,7 +12,26 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[tuple[list[str], dict[str, str | None]]] = []
+
+class Scope:
+    """What was written, and which settings were changed, since a scope was opened."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.settings: dict[str, str | None] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, a table of written(), outlives this scope; the scope around it takes it over."""
+        path = df._written_at
+        if path in self.paths:
+            self.paths.remove(path)
+            outer = _scopes[: _scopes.index(self)]
+            if outer:
+                outer[-1].paths.append(path)
+        return df
+
+
+_scopes: list[Scope] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +61,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     fs.deleteOnExit(where)
     if _scopes:
-        _scopes[-1][0].append(path)
+        _scopes[-1].paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -61,22 +80,22 @@ def setting(spark: SparkSession, name: str, value: str) -> None:
     old = spark.conf.get(name, None)
     if old != value:
         if _scopes:
-            _scopes[-1][1].setdefault(name, old)
+            _scopes[-1].settings.setdefault(name, old)
         spark.conf.set(name, value)
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
+def scope(spark: SparkSession) -> Iterator[Scope]:
     """Deletes, at its end, the intermediate tables written inside, and puts changed session settings back. Results that
-    are to be read later must be stored or collected inside."""
-    mine: tuple[list[str], dict[str, str | None]] = ([], {})
+    are to be read later must be stored, collected or kept inside."""
+    mine = Scope()
     _scopes.append(mine)
     try:
-        yield
+        yield mine
     finally:
         _scopes.remove(mine)
-        for path in mine[0]:
+        for path in mine.paths:
             fs, where = _at(spark, path)
             fs.delete(where, True)
-        for name, old in mine[1].items():
+        for name, old in mine.settings.items():
             spark.conf.unset(name) if old is None else spark.conf.set(name, old)
