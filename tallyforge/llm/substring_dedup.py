@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stash
+from .common import free_name, small_batches, stash, unstash
 
-#: Sentences of a run, the words it has at least in op1 (its SQL fixes them), and the words from which a shorter run
-#: counts as well.
-SPAN, MIN_WORDS, LONG_WORDS = 3, 10, 40
+#: Sentences of a run, and the words from which a shorter run counts too.
+SPAN, LONG_WORDS = 3, 25
 #: A run of marks is entered at its first one only and never given back, so that long runs of them take linear time.
 _SENTENCE = re.compile(r"[^\n]*?(?<![.!?])[.!?]++(?=[\t\x0b\x0c\r ]|\n|\Z)[\t\x0b\x0c\r \n]*|[^\n]+\n*|\n+", re.S)
 _SPAN_SCHEMA = "doc_id long, text_hash long, h1 long, h2 long, at int, len int"
@@ -30,17 +29,17 @@ def sentences(text: str | None) -> list[str]:
     return _SENTENCE.findall(text) if text else []
 
 
-def runs(parts: list[str], span: int = SPAN, min_words: int = 1, long_words: int = LONG_WORDS) -> list[tuple[int, int, str]]:
+def runs(parts: list[str], span: int = SPAN, long_words: int = LONG_WORDS) -> list[tuple[int, int, str]]:
     """(first sentence, number of sentences, words with single spaces) of the runs that count.
 
-    From each sentence: the run of span sentences if it has min_words words, and the shortest run below span sentences
-    that has long_words words, so that a long passage of few sentences counts too. A text of fewer than span sentences
-    is one run as a whole. Pieces of white space alone are no sentences.
+    From each sentence: the run of span sentences, whatever its words, and beside it the shortest run below span
+    sentences that has long_words words, so that a long passage of few sentences counts too. A text of fewer than span
+    sentences is one run as a whole. Pieces of white space alone are no sentences.
     """
     words = [(i, w) for i, w in enumerate(p.split() for p in parts) if w]
     out = []
     n = len(words)
-    if 0 < n < span and sum(len(w) for _, w in words) >= min_words:
+    if 0 < n < span:
         out.append((words[0][0], words[-1][0] - words[0][0] + 1, " ".join(x for _, w in words for x in w)))
     for i in range(n):
         here = words[i : i + span]
@@ -50,12 +49,12 @@ def runs(parts: list[str], span: int = SPAN, min_words: int = 1, long_words: int
             if k < span and size >= long_words and not (k == n and n < span):
                 out.append((words[i][0], j - words[i][0] + 1, " ".join(x for _, v in here[:k] for x in v)))
                 break
-        if len(here) == span and sum(len(w) for _, w in here) >= min_words:
+        if len(here) == span:
             out.append((words[i][0], here[-1][0] - words[i][0] + 1, " ".join(x for _, w in here for x in w)))
     return out
 
 
-def sentence_runs(docs: DataFrame, min_words: int = 1) -> DataFrame:
+def sentence_runs(docs: DataFrame) -> DataFrame:
     """A row for each run of each row of docs (doc_id, text): 128 bits of hash, first sentence, number of sentences."""
     small_batches(docs.sparkSession)
 
@@ -74,7 +73,7 @@ def sentence_runs(docs: DataFrame, min_words: int = 1) -> DataFrame:
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for doc, own, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
-                for at, size, words in runs(sentences(text), min_words=min_words):
+                for at, size, words in runs(sentences(text)):
                     h = digest(words.encode("utf-8", "surrogatepass"))
                     for c, v in zip(cols, (doc, own, signed(h & low), signed(h >> 64), at, size), strict=True):
                         c.append(v)
@@ -86,32 +85,37 @@ def sentence_runs(docs: DataFrame, min_words: int = 1) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(each, _SPAN_SCHEMA)
 
 
-def repeated_sentences(docs: DataFrame, min_words: int = 1) -> DataFrame:
+def repeated_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, spans): for each text that has any, the runs [start, sentences] that occurred before.
 
     The first occurrence is the one of the least doc_id, then the earliest in its text (and of the least text hash,
-    where rows share a doc_id). Whole repeated rows are one text: their runs are not repeats of each other.
+    where rows share a doc_id). Whole repeated rows are one text: their runs are not repeats of each other. Half of the
+    hash finds the runs that may repeat, which are few; the whole hash decides among those.
     """
-    spans = stash(sentence_runs(docs, min_words), "spans")
+    spans = stash(sentence_runs(docs), "spans")
+    halves = spans.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    some = stash(spans.join(halves, "h1", "left_semi"), "repeats")
+    unstash(spans)
     here = F.struct("doc_id", "text_hash", "at")
-    seen = spans.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    seen = seen.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
-    again = spans.join(seen, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
+    seen = some.groupBy("h1", "h2").agg(F.min(here).alias("first"))
+    again = some.join(seen, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "len")).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
-    """docs with text stripped of repeated sentences, and n_sentences and n_removed (null text: 0 and 0).
+def drop_repeats(docs: DataFrame, count: str = "n_sentences", removed: str = "n_removed") -> DataFrame:
+    """docs with text stripped of repeated sentences, and two further columns: its sentences and those removed.
 
-    Texts without a repeat are unchanged to the last byte; from others whole sentences go, with the white space behind
-    them. A text may become empty, never null. All other columns are carried along; n_sentences and n_removed of docs
-    itself are replaced.
+    A null text stays null (0 and 0), an empty one empty. Texts without a repeat are unchanged to the last byte; from
+    others whole sentences go, with the white space behind them; a text may become empty, never null. Very long texts
+    are cut in linear time. A row that is repeated whole (doc_id and text) stays as often as it came: its copies are one
+    text. All other columns are carried along, whatever their names; where one has the name of count or removed,
+    the new one gets underscores behind it. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
+    names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
     doc_id, text = F.col(f"_c{names.index('doc_id')}"), F.col(f"_c{names.index('text')}")
-    found = repeated_sentences(plain.select(doc_id.cast("long").alias("doc_id"), text.alias("text")), min_words)
+    found = repeated_sentences(plain.select(doc_id.cast("long").alias("doc_id"), text.alias("text")))
     plain = plain.withColumn("_h", F.xxhash64(text))
     joined = plain.join(found, doc_id.eqNullSafe(found["doc_id"]) & (F.col("_h") == found["text_hash"]), "left")
 
@@ -132,12 +136,12 @@ def drop_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
 
     done = joined.withColumn("_s", stripped(text, F.col("spans")))
     i = names.index("text")
-    return done.select(*[F.col("_s.text" if k == i else f"_c{k}").alias(c) for k, c in enumerate(names)], F.col("_s.n_sentences").alias("n_sentences"), F.col("_s.n_removed").alias("n_removed"))
+    return done.select(*[F.col("_s.text" if k == i else f"_c{k}").alias(c) for k, c in enumerate(names)], F.col("_s.n_sentences").alias(free_name(names, count)), F.col("_s.n_removed").alias(free_name(names, removed)))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_repeats(docs, MIN_WORDS)
+    return drop_repeats(docs)
 
 
 #: The words of a sentence as str.split() sees them, and sentence ends; U+F0000 marks a cut.
@@ -149,8 +153,8 @@ word AS (SELECT doc_id, i, w, len(string_split(w, ' ')) AS n FROM part WHERE w <
 near AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY doc_id) AS m, lead(i) OVER o AS i1, lead(n) OVER o AS n1, lead(w) OVER o AS w1, lead(i, 2) OVER o AS i2, lead(n, 2) OVER o AS n2, lead(w, 2) OVER o AS w2
   FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 run AS (
-  SELECT doc_id, i AS a, i2 AS z, concat_ws(' ', w, w1, w2) AS t FROM near WHERE i2 IS NOT NULL AND n + n1 + n2 >= {MIN_WORDS}
-  UNION ALL SELECT doc_id, i, coalesce(i1, i), concat_ws(' ', w, w1) FROM near WHERE k = 1 AND m < {SPAN} AND n + coalesce(n1, 0) >= {MIN_WORDS}
+  SELECT doc_id, i AS a, i2 AS z, concat_ws(' ', w, w1, w2) AS t FROM near WHERE i2 IS NOT NULL
+  UNION ALL SELECT doc_id, i, coalesce(i1, i), concat_ws(' ', w, w1) FROM near WHERE k = 1 AND m < {SPAN}
   UNION ALL SELECT doc_id, i, i, w FROM near WHERE n >= {LONG_WORDS} AND m > 1
   UNION ALL SELECT doc_id, i, i1, concat_ws(' ', w, w1) FROM near WHERE n < {LONG_WORDS} AND n + n1 >= {LONG_WORDS} AND m >= {SPAN}),
 gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM (SELECT doc_id, a, z, row_number() OVER (PARTITION BY t ORDER BY doc_id, a) AS r FROM run) WHERE r > 1),
