@@ -1,9 +1,9 @@
 """Quality rules from a suffix array over the words of each text.
 
 Prefix doubling sorts the suffixes of many texts at once; only suffixes that still tie with another one of the same
-text are sorted again. Neighbours in that order give, for each word, the longest passage from there that occurs again:
-the union of those passages is the union of all occurrences of maximal repeated substrings (the intervals of equal
-longest common prefix). The rules limit how much of a text such passages cover and how long the longest is.
+text are sorted again. A stack over the longest common prefixes of neighbours gives their intervals: each is a repeated
+substring with all its places, and a maximal one if the words before those places are not all the same. The spans of
+maximal repeats are united; the rules limit how much of a text they cover and how long the longest is.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches
+from .common import free_name, small_batches, with_column
 
 #: Words that are sorted together; one longer text is sorted alone.
 WORDS_AT_ONCE = 200_000
 #: Common prefixes up to this length are compared for all pairs at once, longer ones in text order.
 _STEPS = 8
+#: Words of the windows whose repeats the base rule counts.
+WINDOW = 3
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_chars long, longest_repeat long, covered_fraction double, base_failed boolean, kept boolean"
 
@@ -68,11 +70,11 @@ def suffix_ranks(s: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return rank
 
 
-def longest_repeats(s: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each word, the number of words from there that occur at another place of the same text too."""
+def common_prefixes(s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): the suffixes in order, and the words that each shares with the one before it (of its text; else 0)."""
     n = len(s)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(suffix_ranks(s, doc))
     a, b = order[1:], order[:-1]
     end = np.searchsorted(doc, doc, side="right")
@@ -94,9 +96,74 @@ def longest_repeats(s: np.ndarray, doc: np.ndarray) -> np.ndarray:
                 k += 1
             lcp[i] = k
             last = i
-    best = lcp.copy()
-    np.maximum.at(best, b, lcp[a])
-    return best
+    return order, lcp[order]
+
+
+def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(intervals, innermost). A row (length, first place, last place, parent) for each interval of equal longest common
+    prefix of `least` or more, parent -1 for none; and the number of the innermost one that holds each place, or -1."""
+    n = len(lcp)
+    length: list[int] = []
+    first: list[int] = []
+    last: list[int] = []
+    parent: list[int] = []
+    top_at: dict[int, int] = {}
+    stack: list[int] = []
+    high = np.flatnonzero(lcp >= least)
+    values = lcp[high].tolist()
+    before = -2
+    for r, value in zip([*high.tolist(), n + 1], [*values, 0], strict=True):
+        if r != before + 1:  # the prefixes between are shorter than least: all intervals end
+            while stack:
+                k = stack.pop()
+                last[k], parent[k] = before, stack[-1] if stack else -1
+            if r > n:
+                break
+        left, popped = r - 1, -1
+        while stack and length[stack[-1]] > value:
+            popped = stack.pop()
+            last[popped], left = r - 1, first[popped]
+            parent[popped] = stack[-1] if stack else -1
+        if not stack or length[stack[-1]] < value:
+            length.append(value)
+            first.append(left)
+            last.append(-1)
+            parent.append(-1)
+            if popped >= 0:
+                parent[popped] = len(length) - 1
+            stack.append(len(length) - 1)
+        top_at[r] = stack[-1]
+        before = r
+    inner = np.full(n + 1, -1, np.int64)
+    if top_at:
+        at, top = np.fromiter(top_at, np.int64), np.fromiter(top_at.values(), np.int64)
+        size = np.zeros(n + 1, np.int64)
+        inner[at], size[at] = top, lcp[at]
+        after = at - 1  # the place before belongs to the interval of this prefix, if that is the longer one
+        longer = size[after] < lcp[at]
+        inner[after[longer]] = top[longer]
+    return np.array([length, first, last, parent], np.int64).T.reshape(-1, 4), inner[:n]
+
+
+def maximal_repeats(s: np.ndarray, doc: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """For each word, the words of the longest maximal repeat of `least` or more that has a place there; else 0."""
+    out = np.zeros(len(s), np.int64)
+    found, inner = intervals(lcp, least)
+    if not len(found):
+        return out
+    starts = np.concatenate(([True], doc[1:] != doc[:-1]))
+    prior = np.where(starts, -1 - np.arange(len(s)), np.concatenate(([0], s[:-1])))[order]  # a text's start is like no other
+    turns = np.cumsum(np.concatenate(([0], prior[1:] != prior[:-1])))
+    maximal = turns[found[:, 2]] > turns[found[:, 1]]
+    reach = np.where(maximal, found[:, 0], 0).tolist()
+    up = found[:, 3].tolist()
+    # A parent has the shorter prefix: from short to long, what isn't maximal takes over from what it lies in.
+    for k in np.argsort(found[:, 0], kind="stable").tolist():
+        if not reach[k] and up[k] >= 0:
+            reach[k] = reach[up[k]]
+    held = inner >= 0
+    out[order[held]] = np.array(reach, np.int64)[inner[held]]
+    return out
 
 
 def _cover(length: np.ndarray) -> np.ndarray:
@@ -114,9 +181,12 @@ def _measure(texts: list[str], limits: Limits) -> list[tuple]:
     s = np.fromiter((put(w, len(numbers)) for w in chain.from_iterable(each)), np.int64)
     n = np.array([len(w) for w in each], np.int64)
     doc = np.repeat(np.arange(len(each)), n)
-    best = longest_repeats(s, doc)
+    order, lcp = common_prefixes(s, doc)
+    again = np.zeros(len(s), np.int64)  # what each suffix shares with either neighbour
+    again[order] = np.maximum(lcp, np.concatenate((lcp[1:], [0]))) if len(s) else lcp
+    best = maximal_repeats(s, doc, order, lcp, limits.min_repeat)
     size = np.fromiter((len(w.decode("utf-8", "surrogatepass")) for w in numbers), np.int64, len(numbers))[s] if len(s) else s
-    windows, spans = _cover(np.where(best >= 3, 3, 0)), _cover(np.where(best >= limits.min_repeat, best, 0))
+    windows, spans = _cover(np.where(again >= WINDOW, WINDOW, 0)), _cover(best)
     starts = np.concatenate(([0], np.cumsum(n)))
     total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[starts])
     chars, repeats, covered = total(size), total(windows.astype(np.int64)), total(np.where(spans, size, 0))
@@ -130,7 +200,7 @@ def _measure(texts: list[str], limits: Limits) -> list[tuple]:
                     dup += 1
                 elif line.strip("\t\n\x0b\x0c\r "):
                     seen.add(line)
-        longest = int(best[starts[i] : starts[i + 1]].max(initial=0))
+        longest = int(again[starts[i] : starts[i + 1]].max(initial=0))
         share = float(covered[i] / chars[i]) if chars[i] else 0.0
         failed = bool(n[i] < 50 or 100 * repeats[i] > 50 * n[i])
         kept = not failed and share <= limits.max_covered and longest <= limits.max_longest
@@ -156,7 +226,8 @@ def quality_measures(docs: DataFrame, text: str = "text", limits: Limits = Limit
     """docs with a struct column of the measures of OUT; texts of any length are measured whole.
 
     A null or empty text has zero in every count and fails the base rule; repeated rows are measured alike; no other
-    column is read. Lines that hold no word are never duplicate lines.
+    column is read, and where one is named as out is, out gets underscores behind it. Lines that hold no word are never
+    duplicate lines. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     names = [f.split()[0] for f in OUT.split(", ")]
@@ -166,7 +237,7 @@ def quality_measures(docs: DataFrame, text: str = "text", limits: Limits = Limit
         for s in batches:
             yield pd.DataFrame(measure(s.tolist(), limits), columns=names)
 
-    return docs.withColumn(out, measured(F.col(text)))
+    return with_column(docs, out, measured(F.col(text)))
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
