@@ -19,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, with_column
 
 _NONE = np.iinfo(np.int64).max
-#: Words kept encoded between batches of a task, and leaves of the trees that are built together.
-KEPT_WORDS, LEAVES_AT_ONCE = 300_000, 1 << 20
+#: Words kept encoded between batches of a task, leaves of the trees that are built together, and leaves from which a
+#: word's tree is worked alone: few words are that long, and each takes very many steps.
+KEPT_WORDS, LEAVES_AT_ONCE, LONG_TREE = 300_000, 1 << 20, 1 << 10
 #: White space as Unicode defines it; Python's own classes also hold the four separators from U+001C.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -54,6 +55,7 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for t, i in self.special.items():
             self.tokens[i] = t
+        self.gaps = not all(self.tokens)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
@@ -61,6 +63,7 @@ class WordBPE:
         self.keys, self.ranks = keys[order], order
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.any_words = None
+        self.rank_of: dict[int, int] | None = None
         # The same pattern for texts below U+0100, where the letters can be listed.
         letter = "".join(f"\\x{i:02x}" for i in range(256) if chr(i).isalpha())
         number = "".join(f"\\x{i:02x}" for i in range(256) if unicodedata.category(chr(i))[0] == "N")
@@ -73,7 +76,6 @@ class WordBPE:
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.shown: list[str] = []
         self.pool, self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         if self.special:
             self._add([*self.special], np.array([*self.special.values()], np.int64), np.ones(len(self.special), np.int64))
@@ -81,12 +83,7 @@ class WordBPE:
     def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(counts) - counts))
         self.pool, self.count = np.concatenate((self.pool, ids)), np.concatenate((self.count, counts))
-        names = [self.tokens[i] for i in ids.tolist()]
-        at = 0
-        for w, c in zip(words, counts.tolist(), strict=True):
-            self.code[w] = len(self.shown)
-            self.shown.append(" ".join(names[at : at + c]))
-            at += c
+        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
 
     def words(self, text: str) -> list[str]:
         """The words of a text that holds no special token."""
@@ -132,6 +129,12 @@ class WordBPE:
         width = 1 << np.ceil(np.log2(np.maximum(size - 1, 1))).astype(np.int64)
         for leaves in np.unique(width).tolist():
             mine = np.flatnonzero(width == leaves)
+            if leaves >= LONG_TREE:
+                for i in mine.tolist():
+                    ids = self._merge_long(symbols[ends[i] - size[i] : ends[i]].tolist(), leaves)
+                    counts[i] = len(ids)
+                    parts.append((np.array([i]), np.array(ids, np.int64)))
+                continue
             step = max(1, LEAVES_AT_ONCE // leaves)
             for i in range(0, len(mine), step):
                 some = mine[i : i + step]
@@ -197,29 +200,85 @@ class WordBPE:
         alive = alive.reshape(n, wide)
         return sym.reshape(n, wide)[alive], alive.sum(1)
 
+    def _merge_long(self, sym: list[int], leaves: int) -> list[int]:
+        """The same for one long word, step by step: a merge costs three paths of the tree and no arrays."""
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        rank_of, merged, size, n = self.rank_of, self.merged, self.size, len(sym)
+        none = _NONE
+        tree = [none] * (2 * leaves)
+        for i in range(n - 1):
+            r = rank_of.get(sym[i] * size + sym[i + 1])
+            if r is not None:
+                tree[leaves + i] = r * leaves + i
+        for node in range(leaves - 1, 0, -1):
+            a, b = tree[2 * node], tree[2 * node + 1]
+            tree[node] = a if a < b else b
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def put(place: int, value: int) -> None:
+            node = leaves + place
+            tree[node] = value
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                if b < a:
+                    a = b
+                if tree[node] == a:
+                    return  # nothing changes above
+                tree[node] = a
+                node >>= 1
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], leaves)
+            gone, new = after[at], int(merged[rank])
+            then = after[gone]
+            sym[at], sym[gone], after[at] = new, -1, then
+            if gone < n - 1:  # the last symbol begins no pair
+                put(gone, none)
+            right = None
+            if then < n:
+                before[then] = at
+                right = rank_of.get(new * size + sym[then])
+            put(at, none if right is None else right * leaves + at)
+            prior = before[at]
+            if prior >= 0:
+                left = rank_of.get(sym[prior] * size + new)
+                put(prior, none if left is None else left * leaves + prior)
+        return [x for x in sym if x >= 0]
+
     def learn(self, each: list[list[str]]) -> None:
         """Encode the words that are not kept yet."""
         fresh = [*(set(chain.from_iterable(each)) - self.code.keys())]
         if fresh:
             self._add(fresh, *self.encode_words(fresh))
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[int]]]:
-        """(ids, the codes of its words) of each text; shown[code] is a word's tokens, joined by spaces."""
+    def codes(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The numbers of each text's words among the words kept."""
         each = [self.pieces(t) for t in texts]
         if len(self.code) > KEPT_WORDS:
             self.forget()
         self.learn(each)
-        out = []
         for words in each:
-            codes = [*map(self.code.__getitem__, words)]
-            c = np.array(codes, np.int64)
+            yield np.array([*map(self.code.__getitem__, words)], np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out = []
+        for c in self.codes(texts):
             n = self.count[c]
-            out.append((self.pool[np.repeat(self.start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())], codes))
+            out.append(self.pool[np.repeat(self.start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         return out
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        return [int(self.count[c].sum()) for c in self.codes(texts)]
+
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, joined by spaces: the vocabulary names no decoder. Ids without a token are skipped."""
-        return " ".join(self.tokens[i] for i in ids if 0 <= i < self.size and self.tokens[i])
+        if self.gaps or (ids and (min(ids) < 0 or max(ids) >= self.size)):
+            return " ".join(self.tokens[i] for i in ids if 0 <= i < self.size and self.tokens[i])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 def read_spec(spark: SparkSession, path: str) -> str:
@@ -241,7 +300,11 @@ def _texts_at_once(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]
 
 
 def with_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the token ids (array of int) of its text column; a null or empty text has none."""
+    """docs with the token ids (array of int) of its text column; a null or empty text has none.
+
+    Texts of any length are encoded whole; repeated rows alike. Where a column is named as out is, out gets underscores
+    behind it. An empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(docs.sparkSession, path))
 
@@ -249,13 +312,27 @@ def with_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "ids"
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = WordBPE.load(spec.value)
         for s in batches:
-            yield pd.Series([ids.astype(np.int32) for some in _texts_at_once([t or "" for t in s.tolist()]) for ids, _ in bpe.encode(some)], dtype=object)
+            yield pd.Series([ids.astype(np.int32) for some in _texts_at_once([t or "" for t in s.tolist()]) for ids in bpe.encode(some)], dtype=object)
+
+    return with_column(docs, out, encoded(F.col(text)))
+
+
+def with_token_count(docs: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+    """docs with the number of token ids of its text column, as with_tokens() would give them."""
+    small_batches(docs.sparkSession)
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(docs.sparkSession, path))
+
+    @F.pandas_udf("long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe = WordBPE.load(spec.value)
+        for s in batches:
+            yield pd.Series([n for some in _texts_at_once([t or "" for t in s.tolist()]) for n in bpe.lengths(some)], dtype="int64")
 
-    return docs.withColumn(out, encoded(F.col(text)))
+    return with_column(docs, out, counted(F.col(text)))
 
 
 def with_decoded(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """tokens with the text that its ids stand for; null ids stand for an empty text."""
+    """tokens with the text that its ids stand for; null ids stand for an empty text. A taken name gets underscores."""
     spec = tokens.sparkSession.sparkContext.broadcast(read_spec(tokens.sparkSession, path))
 
     @F.pandas_udf("string")
@@ -264,13 +341,14 @@ def with_decoded(tokens: DataFrame, path: str, ids: str = "ids", out: str = "dec
         for s in batches:
             yield pd.Series([bpe.decode([] if x is None else list(x)) for x in s.tolist()], dtype=object)
 
-    return tokens.withColumn(out, decoded(F.col(ids)))
+    return with_column(tokens, out, decoded(F.col(ids)))
 
 
 def token_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, its ids decoded, both digested at once.
 
-    A null text counts as empty; repeated rows give repeated rows; no other column is read.
+    A null text counts as empty; repeated rows give repeated rows; texts of any length are encoded whole; no other
+    column is read. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(docs.sparkSession, path))
@@ -281,8 +359,8 @@ def token_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for s in batches:
             rows = []
             for some in _texts_at_once([t or "" for t in s.tolist()]):
-                for ids, codes in bpe.encode(some):
-                    back = " ".join(map(bpe.shown.__getitem__, codes))
+                for ids in bpe.encode(some):
+                    back = bpe.decode(ids.tolist())
                     rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
