@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, hex64, small_batches, stash
+from .common import free_name, hex64, small_batches, stash, with_column
 from .components import connected_components
 
 #: Words of a shingle, and the seed of its hash.
@@ -64,7 +64,7 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
-    """docs with the SimHash of its text column; a null text counts as empty."""
+    """docs with the SimHash of its text column; a null text counts as empty. A taken name gets underscores behind it."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.LongType())
@@ -73,15 +73,17 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shing
             texts = s.tolist()
             yield pd.Series(np.concatenate([fingerprints(texts[i : i + 256], shingle) for i in range(0, len(texts), 256)] or [np.empty(0, np.int64)]))
 
-    return docs.withColumn(out, simhash(F.col(text)))
+    return with_column(docs, out, simhash(F.col(text)))
 
 
 def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b) with a > b: verified links that connect every two fingerprints within RADIUS bits.
 
     Each bucket links its members to its least one; all members of a bucket are within the radius of each other, so no
-    connection is lost and no bucket emits all its pairs.
+    connection is lost and no bucket emits all its pairs. The fingerprints are dealt out before they emit: their table
+    may have few files.
     """
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), fp)
     masks = F.array(F.lit(0).cast("long"), *[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in (1 << i for i in range(64))])
     balls = distinct.select(F.col(fp).alias("f"), F.explode(F.transform(masks, lambda m: F.col(fp).bitwiseXOR(m))).alias("v"))
     buckets = balls.groupBy("v").agg(F.collect_list("f").alias("m")).where(F.size("m") > 1)
@@ -102,8 +104,9 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, fp, component_id) for every row of docs; component_id is the least doc_id that links reach.
 
     Texts without a word have fingerprint zero and are linked like others. Rows with one doc_id count each by their own
-    text. A null doc_id is carried along; it is never a component_id unless no row of the component has another. An
-    empty table gives an empty result.
+    text; repeated rows give repeated rows; very long texts are read whole. A null doc_id is carried along; it is never a
+    component_id unless no row of the component has another. Other columns, whatever their names, are not read. An empty
+    table gives an empty result.
     """
     rows = stash(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", shingle=shingle).drop("_text"), "fps")
     classes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
