@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stash
+from .bpe import with_token_count, with_tokens
+from .common import stash
 
-OUT = "doc_id long, copy long, piece int, first_token long, n_tokens int, bin_id string, bin_capacity int, bin_used int, bin_offset int"
+OUT = "doc_id long, text_hash long, copy long, piece int, first_token long, n_tokens int, bin_id string, bin_capacity int, bin_used int, bin_offset int"
 
 
 @dataclass(frozen=True)
@@ -71,30 +72,32 @@ def pack(sizes: list[int], lengths: Lengths = Lengths()) -> list[tuple[int, list
     return best[1] if best else []
 
 
-def pieces(docs: DataFrame, n_tokens: Column, lengths: Lengths) -> DataFrame:
-    """(doc_id, copy, piece, first_token, n_tokens): documents cut at the largest permitted length, repeated rows
-    numbered by copy. Rows are counted by (doc_id, tokens) first, so that repeated rows don't meet in one task."""
+def pieces(docs: DataFrame, n_tokens: Column, text_hash: Column, lengths: Lengths) -> DataFrame:
+    """(doc_id, text_hash, copy, piece, first_token, n_tokens): documents cut at the largest permitted length, repeated
+    rows numbered by copy. Rows are counted by (doc_id, text_hash, tokens) first, so that repeats don't meet in one task."""
     most = max(lengths.permitted)
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_tokens.cast("long").alias("n")).where("n > 0")
-    counted = counted.groupBy("doc_id", "n").count()
-    copies = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("copy"))
-    cut = copies.select("doc_id", "copy", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))).alias("piece", "first_token"))
-    return cut.select("doc_id", "copy", "piece", "first_token", F.least(F.lit(most), F.col("n") - F.col("first_token")).cast("int").alias("n_tokens"))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), n_tokens.cast("long").alias("n")).where("n > 0")
+    counted = counted.groupBy("doc_id", "text_hash", "n").count()
+    copies = counted.select("doc_id", "text_hash", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("copy"))
+    cut = copies.select("doc_id", "text_hash", "copy", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))).alias("piece", "first_token"))
+    return cut.select("doc_id", "text_hash", "copy", "piece", "first_token", F.least(F.lit(most), F.col("n") - F.col("first_token")).cast("int").alias("n_tokens"))
 
 
-def best_fit_packing(docs: DataFrame, n_tokens: Column, lengths: Lengths = Lengths()) -> DataFrame:
+def best_fit_packing(docs: DataFrame, n_tokens: Column, text_hash: Column | None = None, lengths: Lengths = Lengths()) -> DataFrame:
     """A row for each piece of each document, with its bin: see OUT. bin_offset is where the piece starts in its bin.
 
     Rows of docs need doc_id (null is carried along); n_tokens gives their length: rows of null or no tokens go into no
-    bin and have no row. Documents beyond the largest length are cut; full pieces are bins by themselves. Equal lengths
-    are packed in order of doc_id, copy, piece; the result depends on the rows alone, not on their partitions.
+    bin and have no row. text_hash (null if not given) tells texts of one doc_id apart. Documents of any length are cut
+    at the largest permitted one; full pieces are bins by themselves. Repeated rows are packed each. Equal lengths are
+    packed in order of doc_id, text_hash, copy, piece; the result depends on the rows alone, not on their partitions.
+    Other columns, whatever their names, are not read. An empty table gives an empty one.
     """
-    cut = stash(pieces(docs, n_tokens, lengths), "pieces")
+    cut = stash(pieces(docs, n_tokens, F.lit(None).cast("long") if text_hash is None else text_hash, lengths), "pieces")
     groups = max(1, -(-cut.count() // lengths.group))
-    cut = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(groups)).cast("int"))
+    cut = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "text_hash", "copy", "piece"), F.lit(groups)).cast("int"))
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "copy", "piece"], ascending=[False, True, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["n_tokens", "doc_id", "text_hash", "copy", "piece"], ascending=[False, True, True, True, True], ignore_index=True)
         sizes = pdf["n_tokens"].tolist()
         rows = []
         for b, (capacity, places) in enumerate(pack(sizes, lengths)):
@@ -108,6 +111,25 @@ def best_fit_packing(docs: DataFrame, n_tokens: Column, lengths: Lengths = Lengt
     return cut.groupBy("g").applyInPandas(packed, OUT)
 
 
+def pack_texts(docs: DataFrame, path: str, lengths: Lengths = Lengths()) -> DataFrame:
+    """The packing of docs (doc_id, text) by the BPE tokens of the tokenizer file at path: see best_fit_packing()."""
+    counted = with_token_count(docs.select("doc_id", "text"), path, out="n_tokens")
+    return best_fit_packing(counted, F.col("n_tokens"), F.xxhash64("text"), lengths)
+
+
+def packed_sequences(docs: DataFrame, path: str, lengths: Lengths = Lengths()) -> DataFrame:
+    """(bin_id, capacity, tokens: array of int, starts: array of (doc_id, offset)): the training sequences themselves,
+    for the docs (doc_id, text) packed by pack_texts(). tokens are not padded to the capacity."""
+    ids = with_tokens(docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), "text"), path, out="ids").select("_d", "_h", "ids")
+    ids = ids.dropDuplicates(["_d", "_h"])
+    placed = stash(pack_texts(docs, path, lengths), "placed")
+    here = placed.join(ids, placed["doc_id"].eqNullSafe(ids["_d"]) & (placed["text_hash"] == ids["_h"]))
+    part = F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens"))
+    bins = here.groupBy("bin_id").agg(F.first("bin_capacity").alias("capacity"), F.array_sort(F.collect_list(F.struct("bin_offset", "doc_id", part.alias("ids")))).alias("p"))
+    return bins.select("bin_id", "capacity", F.flatten("p.ids").alias("tokens"), F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["bin_offset"].alias("offset"))).alias("starts"))
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return best_fit_packing(docs.select("doc_id", "text"), F.regexp_count("text", F.lit(WORD)))
+    import public_tokenizers
+
+    return pack_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
