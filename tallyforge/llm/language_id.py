@@ -75,8 +75,8 @@ def host_of(address: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    """What follows the last dot of a host; null without a dot."""
-    return F.when(host.contains("."), F.element_at(F.split(host, r"\."), -1))
+    """What follows the last dot of a host, "" without a dot; null without a host."""
+    return F.when(host.contains("."), F.element_at(F.split(host, r"\."), -1)).when(host.isNotNull(), "")
 
 
 def declared_of(markup: Column) -> Column:
@@ -96,12 +96,17 @@ def languages(rows: DataFrame) -> dict[str, int]:
     return dict(sorted((r[0], r[1]) for r in rows.where("declared is not null").groupBy("declared").count().collect()))
 
 
+def in_sample(text: Column, rate: Column) -> Column:
+    """Whether a text is one of those that its language's model is fitted on."""
+    return F.pmod(F.xxhash64(text, F.lit("fit")), F.lit(1 << 20)) < rate * (1 << 20)
+
+
 def text_model(rows: DataFrame, counts: dict[str, int], sample: int) -> np.ndarray:
     """Log odds of each bucket (BUCKETS x languages), from a hash sample of about `sample` rows a language, whole texts."""
     names = [*counts]
     rates = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, sample / counts[name]))])
     rate = F.coalesce(F.try_element_at(rates, F.col("declared")), F.lit(0.0))
-    chosen = rows.where((F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 20)) < rate * (1 << 20)))
+    chosen = rows.where(in_sample(F.col("text"), rate))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = {name: k for k, name in enumerate(names)}
@@ -122,23 +127,22 @@ def text_model(rows: DataFrame, counts: dict[str, int], sample: int) -> np.ndarr
     return np.log(table, out=table)
 
 
-def host_counts(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[float]]:
-    """(host, host_n, suffix_n: counts by language; counts by language of all rows). Rows are counted by (host, language)
-    first, so a host with most rows is summed map-side."""
+def host_counts(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(host, host_n), (suffix, suffix_n) and the counts of all rows, each by language, from rows that declare one.
+
+    Rows are counted by (host, language) first, so a host with most rows is summed map-side. A suffix's counts hold all
+    its hosts, and so reach hosts without a declaration too; hosts without a dot share the suffix "".
+    """
     known = stash(rows.where("declared is not null").groupBy("host", "suffix", "declared").count(), "known")
 
-    def by_name(counts: DataFrame, *group: str) -> DataFrame:
-        found = counts.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("declared", "count"))).alias("_m"))
+    def by_name(group: str) -> DataFrame:
+        found = known.where(F.col(group).isNotNull()).groupBy(group, "declared").agg(F.sum("count").alias("count"))
+        found = found.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("declared", "count"))).alias("_m"))
         listed = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.try_element_at("_m", n), F.lit(0)).cast("double"))
-        return found.select(*group, listed.alias("_n"))
+        return stash(found.select(F.col(group).alias(f"_{group}"), listed.alias(f"{group}_n")), group)
 
-    named = known.where("host is not null")
-    hosts = stash(by_name(named, "host", "suffix").withColumnRenamed("_n", "host_n"), "hosts")
-    wider = named.groupBy("suffix", "declared").agg(F.sum("count").alias("count"))
-    by_suffix = by_name(wider, "suffix").select(F.col("suffix").alias("_x"), F.col("_n").alias("suffix_n"))
-    joined = hosts.join(by_suffix, F.col("suffix").eqNullSafe(F.col("_x"))).select("host", "host_n", "suffix_n")
     overall = {r[0]: r[1] for r in known.groupBy("declared").agg(F.sum("count")).collect()}
-    return joined, [float(overall.get(n, 0)) for n in names]
+    return by_name("host"), by_name("suffix"), [float(overall.get(n, 0)) for n in names]
 
 
 def posterior(log_text: np.ndarray, n: np.ndarray, declared: np.ndarray, suffix: np.ndarray, host_n: np.ndarray, suffix_n: np.ndarray, all_n: np.ndarray, s: Settings) -> np.ndarray:
@@ -172,7 +176,12 @@ def identify(docs: DataFrame, text: Column, declared: Column, address: Column, s
 
     A null or blank text brings no text evidence and is not kept; a null declaration or address brings none of its kind.
     Rows that declare nothing known are scored by the models of the languages that others declare; if no row declares
-    a language, nothing is determined. Ties go to the first language by name. All columns of docs are carried along.
+    a language, nothing is determined. Ties go to the first language by name. Very long texts are read whole, in bounded
+    blocks; repeated rows are judged alike and counted each. All columns of docs are carried along; where one is
+    named as out is, out gets underscores behind it. An empty table gives an empty one.
+
+    The text's likelihoods are found first, so that a join of priors (beyond what is broadcast) moves only the columns
+    that the result needs.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -183,25 +192,14 @@ def identify(docs: DataFrame, text: Column, declared: Column, address: Column, s
     counts = languages(rows)
     names = [*counts]
     k = len(names)
-    if k:
-        model, (hosts, all_n) = text_model(rows, counts, s.sample), host_counts(rows, names)
-        most = max(1, BROADCAST_COUNTS // k)
-        small = hosts.limit(most + 1).count() <= most
-        rows = rows.join(F.broadcast(hosts) if small else hosts, "host", "left")
-    else:
-        model, all_n = np.zeros((BUCKETS, 0)), []
-        rows = rows.withColumns({"host_n": F.array().cast("array<double>"), "suffix_n": F.array().cast("array<double>")})
-    shared = spark.sparkContext.broadcast((model.astype(np.float32), np.array(all_n)))
+    model = text_model(rows, counts, s.sample) if k else np.zeros((BUCKETS, 0))
+    shared = spark.sparkContext.broadcast(model.astype(np.float32))
     number = {n: i for i, n in enumerate(names)}
 
-    @F.pandas_udf("lang string, confidence double, n_trigrams long, text_lang string, kept boolean")
-    def fused(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        table, all_rows = shared.value
-
-        def arrays(c):
-            return np.array([np.zeros(k) if x is None else x for x in c.tolist()], float).reshape(len(c), k)
-
-        for texts, said, suffixes, by_host, by_suffix in batches:
+    @F.pandas_udf("n long, log_text array<double>")
+    def likelihoods(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        for texts in batches:
             log_text, n = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
             listed, i = texts.tolist(), 0
             while i < len(listed):
@@ -217,9 +215,29 @@ def identify(docs: DataFrame, text: Column, declared: Column, address: Column, s
                     for c in range(k):
                         log_text[i + full, c] = np.add.reduceat(table[grams, c].astype(np.float64), starts)
                 i = j
+            yield pd.DataFrame({"n": n, "log_text": list(log_text)})
+
+    rows = rows.withColumn("_t", likelihoods("text"))
+    all_n = []
+    if k:
+        hosts, suffixes, all_n = host_counts(docs.select(primary_of(declared).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix")), names)
+        most = max(1, BROADCAST_COUNTS // k)
+        for table, key in ((hosts, "host"), (suffixes, "suffix")):
+            small = table.limit(most + 1).count() <= most
+            rows = rows.join(F.broadcast(table) if small else table, F.col(key) == F.col(f"_{key}"), "left")
+    else:
+        rows = rows.withColumns({"host_n": F.array().cast("array<double>"), "suffix_n": F.array().cast("array<double>")})
+
+    @F.pandas_udf("lang string, confidence double, n_trigrams long, text_lang string, kept boolean")
+    def fused(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        def arrays(c):
+            return np.array([np.zeros(k) if x is None else x for x in c.tolist()], float).reshape(len(c), k)
+
+        for text_n, text_l, said, suffixes, by_host, by_suffix in batches:
+            n, log_text = text_n.to_numpy(np.int64), arrays(text_l)
             d = np.array([number.get(x, -1) for x in said.tolist()], np.int64)
             f = np.array([number.get(SUFFIX_LANGUAGE.get(x), -1) for x in suffixes.tolist()], np.int64)
-            p = posterior(log_text, n, d, f, arrays(by_host), arrays(by_suffix), all_rows, s)
+            p = posterior(log_text, n, d, f, arrays(by_host), arrays(by_suffix), np.array(all_n), s)
             best = p.argmax(1)
             sure = p[np.arange(len(p)), best]
             by_text = log_text.argmax(1) if k else best
@@ -231,8 +249,8 @@ def identify(docs: DataFrame, text: Column, declared: Column, address: Column, s
                 "kept": (best < k) & (sure >= s.least) & (n > 0),
             })
 
-    done = rows.withColumn("_l", fused("text", "declared", "suffix", "host_n", "suffix_n"))
-    return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names_in)], F.col("_l").alias(out))
+    done = rows.withColumn("_l", fused("_t.n", "_t.log_text", "declared", "suffix", "host_n", "suffix_n"))
+    return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names_in)], F.col("_l").alias(free_name(names_in, out)))
 
 
 def keep_identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
