@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a navigable small-world graph for each shard, shard results merged.
 
 Equal vectors are one node, whatever their number, so copies neither crowd a graph nor cut it into islands. Nodes are
-dealt to shards by a hash; each shard's graph is built by inserting nodes in growing blocks, whose searches go on in
-step, and is stored as flat arrays: the levels' nodes and, for each, a fixed number of neighbour places. Queries visit
-every shard in blocks, and each query's best of all shards are re-scored exactly, in double precision.
+dealt to shards, bounded in rows and in bytes, by a hash; each shard's graph is built by inserting nodes in growing
+blocks, whose candidates are the nearest of all nodes inserted before (a matrix product, which a shard's bound allows),
+and is stored as flat arrays: the levels' nodes and, for each, a fixed number of neighbour places. Queries walk the graph
+of every shard in blocks, and each query's best of all shards are re-scored exactly, in double precision.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import Window as W
 
 from .common import small_batches, stash
 
-#: Neighbours of a node (twice that on the ground level), breadth of the search when building and when asking.
-M, BUILD, ASK = 16, 64, 96
-#: Nodes of a shard at most (about), and shards at least, so that small tables still use several tasks.
-SHARD_ROWS, MIN_SHARDS = 50_000, 6
+#: Neighbours of a node (twice that on the ground level), candidates for them, and breadth of the search when asking.
+M, BUILD, ASK = 16, 64, 160
+#: Nodes and bytes of single-precision vectors of a shard at most (about), and shards at least, so that small tables
+#: still use several tasks.
+SHARD_ROWS, SHARD_BYTES, MIN_SHARDS = 16_384, 64 << 20, 6
 #: Queries that walk a graph in step, and candidates that each opens at once.
 BLOCK, OPEN = 256, 4
 
@@ -94,7 +96,7 @@ class Graph:
             seen[rows, near] = True
             near = -np.sort(-near, axis=1)
             near = near[:, : max(1, int((near >= 0).sum(1).max()))]
-            s = np.where(near >= 0, np.einsum("qd,qwd->qw", queries[live], self.vectors[near]), -np.inf)
+            s = np.where(near >= 0, (self.vectors[near] @ queries[live][:, :, None])[:, :, 0], -np.inf)
             nodes, values = np.concatenate((beam[live], near), 1), np.concatenate((score[live], s), 1)
             marks = np.concatenate((opened[live], near < 0), 1)
             keep = np.argsort(-values, axis=1, kind="stable")[:, :breadth]
@@ -102,37 +104,30 @@ class Graph:
         return beam, score
 
     def _insert(self, block: np.ndarray) -> None:
-        """Link a block of new nodes: each to near nodes that lie apart from one another, and those back to it."""
-        queries, size = self.vectors[block], int(block[0])
-        at = np.zeros((len(block), 1), np.int64)
-        for level in range(len(self.layers) - 1, -1, -1):
-            mine = self.top[block] >= level
-            nodes, scores = self._walk(queries, at, level, BUILD if mine.any() else 4, len(self.vectors))
-            if mine.any():
-                b = block[mine]
-                if len(b) > 1:  # nodes of one block can be each other's nearest
-                    own = self.vectors[b] @ self.vectors[b].T
-                    own[np.arange(len(b)), np.arange(len(b))] = -np.inf
-                    best = np.argsort(-own, axis=1)[:, :M]
-                    cand = np.concatenate((nodes[mine], b[best]), 1)
-                    cs = np.concatenate((scores[mine], np.take_along_axis(own, best, 1)), 1)
-                    cs[:, nodes.shape[1] :][~np.isfinite(cs[:, nodes.shape[1] :])] = -np.inf
-                    cand = np.where(cs > -np.inf, cand, -1)
-                else:
-                    cand, cs = nodes[mine], scores[mine]
-                self._link(b, cand, cs, level)
-            at = nodes[:, :1] if level else at
+        """Link a block of new nodes: each to near nodes of those inserted before and of its own block that lie apart
+        from one another, and those back to it."""
+        for level in range(len(self.layers)):
+            b = block[self.top[block] >= level]
+            if not len(b):
+                break
+            here = np.flatnonzero(self.top[: block[-1] + 1] >= level)  # in order, so that b are the last
+            scores = self.vectors[b] @ self.vectors[here].T
+            scores[np.arange(len(b)), len(here) - len(b) + np.arange(len(b))] = -np.inf
+            most = min(BUILD, len(here))
+            near = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+            scores = np.take_along_axis(scores, near, 1)
+            self._link(b, np.where(scores > -np.inf, here[near], -1), scores, level)
 
     def _apart(self, base: np.ndarray, cand: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
         """Up to `most` of each row's candidates, nearest first: a candidate nearer to one already taken than to the
         row's own node comes after the others."""
-        step = max(1, (1 << 22) // max(1, cand.shape[1] ** 2))
+        step = max(1, (1 << 20) // max(1, cand.shape[1] ** 2))
         if len(cand) > step:  # the candidates' cosines with one another are held for some rows at a time
             return np.concatenate([self._apart(base[i : i + step], cand[i : i + step], score[i : i + step], most) for i in range(0, len(cand), step)])
         order = np.argsort(-score, axis=1, kind="stable")
         cand, score = np.take_along_axis(cand, order, 1), np.take_along_axis(score, order, 1)
         v = self.vectors[np.maximum(cand, 0)]
-        between = np.einsum("rad,rbd->rab", v, v)
+        between = v @ v.transpose(0, 2, 1)
         r, c = cand.shape
         taken = np.zeros((r, c), bool)
         shadow = np.full((r, c), -np.inf)
@@ -167,7 +162,7 @@ class Graph:
         links[nodes[~full], : fits.shape[1]] = fits
         if full.any():
             base, c = nodes[full], cand[full]
-            s = np.where(c >= 0, np.einsum("rd,rcd->rc", self.vectors[base], self.vectors[np.maximum(c, 0)]), -np.inf)
+            s = np.where(c >= 0, (self.vectors[np.maximum(c, 0)] @ self.vectors[base][:, :, None])[:, :, 0], -np.inf)
             links[base] = self._apart(base, c, s, width)
 
     def flat(self) -> tuple[bytes, bytes, bytes]:
@@ -186,38 +181,48 @@ class Graph:
         return g
 
 
-def vector_classes(rows: DataFrame, vec_id: str, vector: str, copies: int) -> DataFrame:
-    """(vec_id, v, ids): a row for each distinct usable vector, its least vec_id and its `copies` least ones.
+def scaled(v: Column) -> Column:
+    """An array of double over the power of two at or below its largest component: its cosines stay the same to the last
+    bit, and no product of components overflows or vanishes."""
+    largest = F.array_max(F.transform(v, F.abs))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(largest)).cast("double"))
+    return F.get(F.transform(F.array(unit), lambda u: F.transform(v, lambda x: x / u)), 0)
 
-    Rows are left out whose vector is null, empty, zero or has a null or non-finite component. Copies are combined
-    map-side, as the `copies` least ids of what each task has seen.
-    """
+
+def usable_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """(vec_id, v: the vector scaled) of the rows that take part."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull())
+    return rows.select("vec_id", scaled(F.col("v")).alias("v"))
+
+
+def vector_classes(usable: DataFrame, copies: int) -> DataFrame:
+    """(vec_id, v, ids): a row for each distinct vector, its least vec_id, and its `copies` least ids, each as often as
+    its rows come, up to `copies` times. Copies are combined map-side."""
     # A class's least ids, in two steps: by (vector, slice of ids), then by vector, so that no task sorts all copies.
-    sliced = rows.groupBy("v", "vec_id").count().withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(4096)))
+    sliced = usable.groupBy("v", "vec_id").count().withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(4096)))
     some = sliced.groupBy("v", "_s").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "count"))), 1, copies).alias("i"))
     least = some.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("i"))), 1, copies).alias("i"))
     ids = F.flatten(F.transform("i", lambda x: F.array_repeat(x["vec_id"], F.least(x["count"], F.lit(copies)).cast("int"))))
-    return least.select(F.col("i")[0]["vec_id"].alias("vec_id"), "v", F.slice(ids, 1, copies).alias("ids"))
+    return least.select(F.col("i")[0]["vec_id"].alias("vec_id"), "v", ids.alias("ids"))
 
 
-def shard_count(rows: int) -> int:
-    return max(MIN_SHARDS, -(-rows // SHARD_ROWS))
+def shard_count(rows: int, dims: int) -> int:
+    """Shards for so many vectors of at most so many components."""
+    most = max(256, min(SHARD_ROWS, SHARD_BYTES // (4 * max(1, dims))))
+    return max(MIN_SHARDS, -(-rows // most))
 
 
-def build_index(classes: DataFrame, rows: int) -> DataFrame:
-    """(shard, ids, dims, vectors, top, links): a graph for each shard of about SHARD_ROWS nodes, as flat arrays.
+def build_index(classes: DataFrame, shards: int) -> DataFrame:
+    """(shard, ids, dims, vectors, top, links): a graph for each shard, as flat arrays.
 
     Vectors of another number of components than a graph's make a graph of their own.
     """
-    shards = shard_count(rows)
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
         x = np.array(pdf["v"].tolist(), float)
-        x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         vectors, top, links = Graph.build(x.astype(np.float32)).flat()
         return pd.DataFrame({"shard": [key[0]], "dims": [key[1]], "ids": [pdf["vec_id"].to_numpy().tobytes()], "vectors": [vectors], "top": [top], "links": [links]})
@@ -227,15 +232,16 @@ def build_index(classes: DataFrame, rows: int) -> DataFrame:
 
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
-    """(query_id, found): for each query and shard about its k nearest nodes, by their vec_id. queries: query_id, q.
+    """(query, found): for each query and shard about its k nearest nodes, by their vec_id. queries: query (a long of
+    its own), q.
 
     Each shard's graph goes to one partition, and after it the queries in Arrow batches, so a task holds one graph and
     one batch.
     """
-    asked = queries.select("query_id", "q", F.size("q").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = queries.select("query", "q", F.size("q").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     none = lambda kind: F.lit(None).cast(kind)
-    both = index.select("shard", "dims", F.lit(0).alias("kind"), "ids", "vectors", "top", "links", none("long").alias("query_id"), none("array<double>").alias("q"))
-    both = both.union(asked.select("shard", "dims", F.lit(1), none("binary"), none("binary"), none("binary"), none("binary"), "query_id", "q"))
+    both = index.select("shard", "dims", F.lit(0).alias("kind"), "ids", "vectors", "top", "links", none("long").alias("query"), none("array<double>").alias("q"))
+    both = both.union(asked.select("shard", "dims", F.lit(1), none("binary"), none("binary"), none("binary"), none("binary"), "query", "q"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = ids = key = None
@@ -253,13 +259,12 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int) -> D
                 for i in range(at, end, BLOCK):
                     j = min(end, i + BLOCK)
                     x = np.array(b.column("q").slice(i, j - i).to_pylist(), float)
-                    x /= np.abs(x).max(1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     nodes, _ = graph.search(x.astype(np.float32), k, ASK)
                     found = [ids[row[row >= 0]].tolist() for row in nodes]
-                    yield pa.record_batch([b.column("query_id").slice(i, j - i), pa.array(found, pa.list_(pa.int64()))], ["query_id", "found"])
+                    yield pa.record_batch([b.column("query").slice(i, j - i), pa.array(found, pa.list_(pa.int64()))], ["query", "found"])
 
-    return both.repartition(F.col("shard"), F.col("dims")).sortWithinPartitions("shard", "dims", "kind").mapInArrow(walk, "query_id long, found array<long>")
+    return both.repartition(F.col("shard"), F.col("dims")).sortWithinPartitions("shard", "dims", "kind").mapInArrow(walk, "query long, found array<long>")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -271,24 +276,27 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(rows: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row where `queries` holds, itself left out.
 
-    Nearest first by cosine of the original vectors in double precision, ties to the smaller vec_id. Rows whose vector
-    is null, empty, zero or holds a null or non-finite component, or whose vec_id is null, take no part. A vec_id that
-    comes with several vectors is several candidates, and a query by each of them.
+    Nearest first by cosine of the original vectors in double precision, ties to the smaller vec_id; components of any
+    finite size are fine. Rows whose vector is null, empty, zero or holds a null or non-finite component, or whose
+    vec_id is null, take no part; vectors meet those of the same number of components. A row that is repeated is as many
+    candidates; rows of a query's own vec_id are never its candidates. A vec_id that comes with several vectors is a
+    query by each of them, and one that is repeated whole a query once. Other columns are not read. An empty table gives
+    an empty one.
     """
     small_batches(rows.sparkSession)
-    classes = stash(vector_classes(rows, vec_id, vector, k + 1), "classes")
-    n = classes.count()
-    index = stash(build_index(classes, n), "index")
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    asked = rows.where(F.coalesce(queries, F.lit(False))).select(F.col(vec_id).cast("long").alias("query_id"), v.alias("q")).distinct()
-    asked = asked.join(classes.select(F.col("v").alias("_v")), F.col("q") == F.col("_v"), "left_semi")
-    asked = stash(asked, "asked")
-    found = search_index(index, asked, shard_count(n), k + 1)
-    pairs = found.select("query_id", F.explode("found").alias("node"))
-    scored = pairs.join(asked, "query_id").join(classes, F.col("node") == F.col("vec_id")).where(F.size("q") == F.size("v"))
-    scored = scored.select("query_id", F.hash("q").alias("_q"), F.explode("ids").alias("vec_id"), cosine(F.col("q"), F.col("v")).alias("score")).where("vec_id <> query_id")
-    order = W.partitionBy("query_id", "_q").orderBy(F.desc("score"), "vec_id")
-    return scored.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    classes = stash(vector_classes(usable_vectors(rows, vec_id, vector), k + 1), "classes")
+    n, dims = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    shards = shard_count(n, dims or 1)
+    index = stash(build_index(classes, shards), "index")
+    asked = usable_vectors(rows.where(F.coalesce(queries, F.lit(False))), vec_id, vector)
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    asked = stash(asked.withColumn("query", F.xxhash64("query_id", "q")), "asked")
+    found = search_index(index, asked, shards, k + 1)
+    pairs = found.select(F.col("query").alias("_f"), F.explode("found").alias("node"))
+    scored = pairs.join(asked, F.col("_f") == F.col("query")).join(classes, F.col("node") == F.col("vec_id")).where(F.size("q") == F.size("v"))
+    scored = scored.select("query_id", "query", cosine(F.col("q"), F.col("v")).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
