@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, stash, unstash
+from .common import free_name, ranked, stash, unstash
 
 #: Bins of a histogram, and the passes that narrow a cut along the hash.
 BINS, TIE_PASSES = 512, 2
@@ -22,50 +22,43 @@ _TIE = 1 << 40
 
 @dataclass(frozen=True)
 class Cut:
-    """Left of it: dimension below value, or equal to it with a tie hash below tie."""
+    """Left of it: dimension (by number) below value, or equal to it with a tie hash below tie."""
 
-    dim: str
+    dim: int
     value: float
     tie: int
 
-    def left(self) -> Column:
-        v = F.col(self.dim)
-        return (v < F.lit(self.value)) | ((v == F.lit(self.value)) & (F.col("_tie") < F.lit(self.tie)))
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A row for each open node, ready to be joined to the rows by _node: as many rows as shards at most."""
+    return F.broadcast(spark.createDataFrame(rows, f"_n int, {schema}"))
 
-def _per_node(nodes: dict[int, object], make) -> Column:
-    """make(what belongs to the row's node), null for other rows."""
-    out = F.lit(None)
-    for node, what in nodes.items():
-        out = F.when(F.col("_node") == node, make(what)).otherwise(out)
-    return out
+
+def _at(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of open nodes, with what their node brings and _v, their value in its dimension."""
+    return rows.join(nodes, F.col("_node") == F.col("_n")).withColumn("_v", F.get("_dims", F.col("_dim")))
 
 
-def _histogram(rows: DataFrame, nodes: dict[int, tuple], value, extent: bool = False) -> dict[int, dict[int, object]]:
-    """Bytes by node and bin; with extent, (bytes, least, greatest value). nodes: node -> (what, low, high); value(what):
-    a Column; bin -1 is below low, BINS above."""
-    def place(x):
-        what, low, high = x
-        v = value(what)
-        width = (high - low) / BINS or 1.0
-        inner = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((v - F.lit(low)) / F.lit(width)).cast("int")))
-        return F.when(v < F.lit(low), -1).when(v > F.lit(high), BINS).otherwise(inner)
-
-    found = rows.where(F.col("_node").isin([*nodes])).groupBy("_node", _per_node(nodes, place).cast("int").alias("_bin"))
-    at = _per_node(nodes, lambda x: value(x[0]))
-    found = found.agg(F.sum("_size").alias("_m"), *[f(at).cast("double").alias(c) for f, c in ((F.min, "_lo"), (F.max, "_hi")) if extent])
-    out: dict[int, dict[int, object]] = {n: {} for n in nodes}
-    for n, b, m, *ends in found.where("_bin is not null").collect():
-        out[n][b] = (m, *ends) if extent else m
+def _histogram(rows: DataFrame, nodes: dict[int, tuple[float, float]], value: str) -> dict[int, dict[int, tuple]]:
+    """(bytes, least, greatest value) by node and bin of rows with columns _n, value. nodes: node -> (low, high); bin -1
+    is below low, BINS above high."""
+    bounds = _table(rows.sparkSession, [(n, lo, hi, (hi - lo) / BINS or 1.0) for n, (lo, hi) in nodes.items()], "_low double, _high double, _width double").withColumnRenamed("_n", "_k")
+    v = F.col(value).cast("double")
+    inner = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((v - F.col("_low")) / F.col("_width")).cast("int")))
+    place = F.when(v < F.col("_low"), -1).when(v > F.col("_high"), BINS).otherwise(inner)
+    found = rows.join(bounds, F.col("_n") == F.col("_k")).groupBy("_n", place.cast("int").alias("_bin")).agg(F.sum("_size"), F.min(v), F.max(v))
+    out: dict[int, dict[int, tuple]] = {n: {} for n in nodes}
+    for n, b, *what in found.collect():
+        out[n][b] = tuple(what)
     return out
 
 
-def _narrow(low: float, high: float, bins: dict[int, int], below: float, nearest: bool = False) -> tuple[float, float]:
+def _narrow(low: float, high: float, bins: dict[int, tuple], below: float, nearest: bool = False) -> tuple[float, float]:
     """The bounds of the bin in which `below` bytes are reached; with nearest, the bin before it as upper bound if its
     end is nearer to them."""
-    width, seen = (high - low) / BINS or 1.0, bins.get(-1, 0)
+    width, seen = (high - low) / BINS or 1.0, bins.get(-1, (0,))[0]
     for b in range(BINS):
-        more = bins.get(b, 0)
+        more = bins.get(b, (0,))[0]
         if seen + more >= below:
             if nearest and below - seen < seen + more - below:
                 return low + (b - 1) * width, low + b * width
@@ -74,32 +67,31 @@ def _narrow(low: float, high: float, bins: dict[int, int], below: float, nearest
     return low + (BINS - 1) * width, high
 
 
-def cuts(rows: DataFrame, dims: list[str], nodes: dict[int, float]) -> dict[int, Cut]:
+def cuts(rows: DataFrame, overall: list[float], nodes: dict[int, float]) -> dict[int, Cut]:
     """A cut for each node (node -> share of its bytes that goes left) along its widest dimension.
 
-    Width is the standard deviation over that of all rows, so that dimensions of any unit compare; ties go to the first.
-    A node of no or equal rows is cut by the hash alone.
+    rows: _node, _dims (array of double), _size, _tie. Width is the standard deviation over that of all rows (overall), so
+    that dimensions of any unit compare; ties go to the first. A node of equal rows is cut by the hash alone.
     """
-    spread = [F.stddev_pop(d).alias(f"s{i}") for i, d in enumerate(dims)]
-    overall = rows.agg(*spread).first()
-    per = rows.where(F.col("_node").isin([*nodes])).groupBy("_node").agg(F.sum("_size").alias("m"), *spread, *[f(d).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))])
-    found = {r["_node"]: r for r in per.collect()}
-    if not found:
-        return {n: Cut(dims[0], 0.0, 0) for n in nodes}
-    open_, want = {}, {}
-    for node, share in nodes.items():
-        if node in found:
-            r = found[node]
-            wide = [(r[f"s{i}"] or 0) / overall[f"s{i}"] if overall[f"s{i}"] else 0.0 for i in range(len(dims))]
-            i = wide.index(max(wide))
-            open_[node], want[node] = (dims[i], float(r[f"lo{i}"]), float(r[f"hi{i}"])), share * r["m"]
-    values = {n: d for n, (d, _, _) in open_.items()}
+    spark, dims = rows.sparkSession, range(len(overall))
+    d = lambda i: F.col("_dims")[i]
+    open_rows = rows.join(F.broadcast(spark.createDataFrame([(n,) for n in nodes], "_k int")), F.col("_node") == F.col("_k"))
+    per = open_rows.groupBy("_node").agg(F.sum("_size").alias("m"), *[F.stddev_pop(d(i)).alias(f"s{i}") for i in dims], *[f(d(i)).alias(f"{n}{i}") for i in dims for n, f in (("lo", F.min), ("hi", F.max))])
+    axis, bounds, want = {}, {}, {}
+    for r in per.collect():
+        wide = [(r[f"s{i}"] or 0) / overall[i] if overall[i] else 0.0 for i in dims]
+        i = wide.index(max(wide))
+        n = r["_node"]
+        axis[n], bounds[n], want[n] = i, (float(r[f"lo{i}"]), float(r[f"hi{i}"])), nodes[n] * r["m"]
+    if not axis:
+        return {n: Cut(0, 0.0, 0) for n in nodes}
+    placed = _at(rows, _table(spark, [*axis.items()], "_dim int"))
     at: dict[int, float] = {}
     left: dict[int, int] = {}
     # Bounds close in on values that rows have, however far apart they lie, until one value is left: the cut's.
-    while open_:
-        found_in = _histogram(rows, open_, F.col, extent=True)
-        for n, (d, lo, hi) in [*open_.items()]:
+    while bounds:
+        found_in = _histogram(placed, bounds, "_v")
+        for n, (lo, hi) in [*bounds.items()]:
             below = found_in[n].get(-1, (0, lo, lo))[0]
             for k in sorted(k for k in found_in[n] if 0 <= k < BINS):
                 more, first, last = found_in[n][k]
@@ -107,39 +99,47 @@ def cuts(rows: DataFrame, dims: list[str], nodes: dict[int, float]) -> dict[int,
                     break
                 below += more
             if first < last and (first, last) != (lo, hi):
-                open_[n] = (d, first, last)
+                bounds[n] = (first, last)
             else:
                 at[n], left[n] = last, below
-                del open_[n]
-    at_dims = {n: (values[n], v) for n, v in at.items()}
-    tied = rows.where(_per_node(at_dims, lambda x: F.col(x[0]) == F.lit(x[1])))
-    ties = {n: ("_tie", 0.0, float(_TIE)) for n in at}
+                del bounds[n]
+    tied = _at(rows, _table(spark, [(n, axis[n], v) for n, v in at.items()], "_dim int, _value double")).where("_v = _value")
+    ties = {n: (0.0, float(_TIE)) for n in at}
     for k in range(TIE_PASSES):
-        bins = _histogram(tied, ties, F.col)
-        ties = {n: (c, *_narrow(lo, hi, bins[n], want[n] - left[n], k == TIE_PASSES - 1)) for n, (c, lo, hi) in ties.items()}
-    out = {n: Cut(values[n], at[n], int(ties[n][2] if want[n] > left[n] else 0)) for n in at}
-    return {n: out.get(n, Cut(dims[0], 0.0, 0)) for n in nodes}
-
+        bins = _histogram(tied, ties, "_tie")
+        ties = {n: _narrow(lo, hi, bins[n], want[n] - left[n], k == TIE_PASSES - 1) for n, (lo, hi) in ties.items()}
+    out = {n: Cut(axis[n], at[n], int(ties[n][1] if want[n] > left[n] else 0)) for n in at}
+    return {n: out.get(n, Cut(0, 0.0, 0)) for n in nodes}
 
-def kd_shards(rows: DataFrame, dims: list[str], size: str, tie: list[str], shards: int = 8) -> DataFrame:
-    """rows with an int column shard: `shards` leaves of nearly equal sums of size.
 
-    dims: numeric columns; a null counts as the least value of all. Rows that tie in a dimension are parted by a hash of
-    the tie columns, so equal values, however many, can be split; rows equal in those too stay together.
-    """
+def kd_tree(rows: DataFrame, dims: list[str], size: str, tie: list[str], shards: int | None = None, target_bytes: int | None = None, out: str = "shard") -> tuple[DataFrame, dict[int, Cut]]:
+    """(rows with a column shard, the cut of each inner node): see kd_shards(). The root is node 1, the children of node
+    n are 2n and 2n + 1; ties are parted by _tie = pmod(xxhash64(tie columns), 2**40)."""
     names = rows.columns
-    least = rows.agg(*[F.min(d).cast("double") for d in dims]).first()
-    plain = rows.select(*names, *[F.coalesce(F.col(d).cast("double"), F.lit(least[i] or 0.0)).alias(f"_d{i}") for i, d in enumerate(dims)], F.col(size).cast("long").alias("_size"), F.pmod(F.xxhash64(*tie), F.lit(_TIE)).alias("_tie"), F.lit(1).alias("_node"))
-    axes = [f"_d{i}" for i in range(len(dims))]
-    plain_at = None
+    spark = rows.sparkSession
+    sizes = F.sum(F.col(size).cast("long"))
+    least = rows.agg(*[F.min(F.col(d).cast("double")) for d in dims], sizes).first()
+    if shards is None:
+        shards = max(1, -(-(least[-1] or 0) // max(1, target_bytes or 1)))
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)]
+    axes = F.array(*[F.coalesce(F.col(d).cast("double"), F.lit(least[i] or 0.0)) for i, d in enumerate(dims)])
+    plain = rows.select(*own, axes.alias("_dims"), F.col(size).cast("long").alias("_size"), F.pmod(F.xxhash64(*tie), F.lit(_TIE)).alias("_tie"), F.lit(1).alias("_node"))
+    overall = [x or 0.0 for x in plain.agg(*[F.stddev_pop(F.col("_dims")[i]) for i in range(len(dims))]).first()]
+    written_at = None
+    made: dict[int, Cut] = {}
     leaves = {1: (0, shards)}  # node -> its shards, from and to
     while any(b - a > 1 for a, b in leaves.values()):
         shares = {n: math.ceil((b - a) / 2) / (b - a) for n, (a, b) in leaves.items() if b - a > 1}
-        found = cuts(plain, axes, shares)
-        plain = plain.withColumn("_node", F.coalesce(_per_node(found, lambda c: F.when(c.left(), F.col("_node") * 2).otherwise(F.col("_node") * 2 + 1)), F.col("_node")))
-        plain, before = stash(plain, "nodes"), plain_at
+        found = cuts(plain, overall, shares)
+        made |= found
+        cut = F.broadcast(spark.createDataFrame([(n, c.dim, c.value, c.tie) for n, c in found.items()], "_n int, _dim int, _value double, _limit long"))
+        v = F.get("_dims", F.col("_dim"))
+        left = (v < F.col("_value")) | ((v == F.col("_value")) & (F.col("_tie") < F.col("_limit")))
+        child = F.when(F.col("_n").isNull(), F.col("_node")).when(left, F.col("_node") * 2).otherwise(F.col("_node") * 2 + 1)
+        plain = plain.join(cut, F.col("_node") == F.col("_n"), "left").withColumn("_node", child.cast("int")).drop("_n", "_dim", "_value", "_limit")
+        plain, before = stash(plain, "nodes"), written_at
         unstash(before)
-        plain_at = plain
+        written_at = plain
         grown = {}
         for n, (a, b) in leaves.items():
             if n in found:
@@ -148,25 +148,37 @@ def kd_shards(rows: DataFrame, dims: list[str], size: str, tie: list[str], shard
             else:
                 grown[n] = (a, b)
         leaves = grown
-    shard = F.lit(None).cast("int")
-    for n, (a, _) in leaves.items():
-        shard = F.when(F.col("_node") == n, F.lit(a)).otherwise(shard)
-    return plain.select(*names, shard.alias("shard"))
+    number = F.broadcast(spark.createDataFrame([(n, a) for n, (a, _) in leaves.items()], "_n int, _shard int"))
+    done = plain.join(number, F.col("_node") == F.col("_n"))
+    return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], F.col("_shard").alias(free_name(names, out))), made
+
+
+def kd_shards(rows: DataFrame, dims: list[str], size: str, tie: list[str], shards: int | None = None, target_bytes: int | None = None, out: str = "shard") -> DataFrame:
+    """rows with an int column shard: leaves of nearly equal sums of size, so many as shards says, or so many that a leaf
+    has about target_bytes at most.
+
+    dims: numeric columns; a null counts as the least value of all. Rows that tie in a dimension are parted by a hash of
+    the tie columns, so equal values, however many, can be split; rows equal in those too stay together. All columns are
+    carried along; where one is named as out is, out gets underscores behind it. An empty table gives an empty one.
+    """
+    return kd_tree(rows, dims, size, tie, shards, target_bytes, out)[0]
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for every row of docs (doc_id, text, lang, source).
+def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) for every row of docs (doc_id, text, lang, source), in so many shards, or
+    in so many that each has about target_bytes at most.
 
     size is the text's UTF-8 bytes plus 1 (null text: 1, and checksum 0 as of an empty text). The dimensions are the
     length on a log scale, doc_id, and numbers for language and source. slot numbers the rows of a shard from 0, by
-    buckets of a hash. Null columns, repeated rows and an empty table give rows, or none, like any others.
+    buckets of a hash. Null columns, repeated rows, very long texts and an empty table give rows, or none, like any
+    others; other columns, whatever their names, are not read.
     """
     number = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("double")
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), number("lang").alias("m_lang"), number("source").alias("m_source"))
     rows = stash(rows.withColumn("m_log", F.log(F.col("size").cast("double"))), "metadata")
-    parted = kd_shards(rows, ["m_log", "doc_id", "m_lang", "m_source"], "size", ["doc_id", "text_crc32", "size"], shards)
+    parted = kd_shards(rows, ["m_log", "doc_id", "m_lang", "m_source"], "size", ["doc_id", "text_crc32", "size"], shards if target_bytes is None else None, target_bytes)
     return ranked(parted.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "text_crc32", "size"], "slot")
 
 
