@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, with_column
 
 #: Places that features are hashed into: the size of the model, whatever the corpus holds.
 BITS = 18
@@ -169,7 +169,8 @@ def fit(rows: DataFrame, label: str, text: str, how: Ftrl = Ftrl()) -> np.ndarra
 
 
 def with_score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the chance of label 1 for its text column; a null or blank text gets what the bias alone says."""
+    """docs with the chance of label 1 for its text column; a null or blank text gets what the bias alone says.
+    A taken name gets underscores behind it."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -180,7 +181,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: st
             margin = np.array([w[p] @ v for p, v in in_blocks(s.tolist())]) + w[-1]
             yield pd.Series(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
 
-    return docs.withColumn(out, score(F.col(text)))
+    return with_column(docs, out, score(F.col(text)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -205,7 +206,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> Dat
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), at_least: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs. Without labelled rows every score is 0.5."""
+    """(doc_id, held_out, score, predicted) for every row of docs. Without labelled rows every score is 0.5.
+
+    Null and empty texts get what the bias says; texts of any length are read whole; repeated rows score alike, and equal
+    scores are fine: nothing is ranked. A null doc_id is carried along as held out. Other columns of docs and labels,
+    whatever their names, are not read. An empty table gives an empty one.
+    """
+    small_batches(docs.sparkSession)
     weights = fit(training_rows(docs, labels, how), "y", "text", how)
     scored = with_score(docs.select("doc_id", "text"), weights)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"))
