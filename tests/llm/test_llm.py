@@ -88,8 +88,10 @@ def test_sentences_of_long_runs_of_marks():
 
 
 def test_substring_dedup_awkward_rows(spark, odd):
-    out = substring_dedup.drop_repeats(odd.withColumns({"spans": F.lit(1), "text_hash": F.lit(2), "N_removed": F.lit(3)})).collect()
-    assert len(out) == odd.count()
+    out = substring_dedup.drop_repeats(odd.withColumns({"spans": F.lit(1), "text_hash": F.lit(2), "N_removed": F.lit(3)}))
+    assert out.columns == [*odd.columns, "spans", "text_hash", "N_removed", "n_sentences", "n_removed_"]
+    out = out.withColumnRenamed("N_removed", "given").withColumnRenamed("n_removed_", "n_removed").collect()
+    assert len(out) == odd.count() and all(r.given == 3 for r in out)
     by = {r.doc_id: r for r in out}
     assert by[1].text is None and by[2].text == "" and by[4].n_removed == 0 and by[5].text == "" and by[9].text == "x" * 50_000
     assert [r.n_removed for r in out if r.doc_id == 7] == [0, 0]
@@ -109,16 +111,6 @@ def brute_repeats(words):
     return best
 
 
-def test_longest_repeats_against_brute_force():
-    r = random.Random(3)
-    for turn in range(150):
-        docs = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 40))] for _ in range(4)]
-        docs[1] = docs[1] * 3 if turn % 3 == 0 else docs[1]
-        s = np.array([ord(x) - 97 for d in docs for x in d], np.int64)
-        doc = np.repeat(np.arange(4), [len(d) for d in docs])
-        assert list(quality_rules.longest_repeats(s, doc)) == [x for d in docs for x in brute_repeats(d)]
-
-
 def test_quality_measures():
     clean, line = prose(5, 20), "Same line of words here."
     repeated = "\n".join([line] * 30)
@@ -178,7 +170,7 @@ def test_fixity_of_altered_records_among_far_and_crowded_keys(spark):
     assert sorted((r.key or -1) for r in out if r.status == "corrupt") == [-1, 7, 2999, 5000, 10**12] and {r.status for r in out} == {"intact", "corrupt"}
     order = sorted(out, key=lambda r: (r.key is not None, r.key or 0, r.digest))
     assert [r.offset for r in order] == [0, *itertools.accumulate(r.length for r in order)][:-1] and len(order) == len(rows)
-    assert max(collections.Counter(r.leaf for r in out).values()) <= 2 * warc_fixity.LEAF
+    assert max(collections.Counter(r.leaf for r in out).values()) <= 16 << warc_fixity.LEAF_BITS
 
 
 # BPE
@@ -192,7 +184,7 @@ def test_bpe_against_the_library(spark, odd):
     r = random.Random(4)
     texts = ["Hello World's 1234 don't<|endoftext|>foo ΑΣ İ ǅ\xa0x", "", "  ", "a" * 3000, "<|startoftext|><|ENDOFTEXT|>"]
     texts += ["".join(r.choice("aabcdethe  inan'sl\n.,!<|>09½ßéÉÑΣς日本\x1f\x85\xa0\u0301İ€ǅ") for _ in range(r.randrange(200))) for _ in range(400)]
-    for text, (ids, _) in zip(texts, ours.encode(texts), strict=True):
+    for text, ids in zip(texts, ours.encode(texts), strict=True):
         e = theirs.encode(text, add_special_tokens=False)
         assert e.ids == ids.tolist() and theirs.decode(e.ids, skip_special_tokens=False) == ours.decode(ids.tolist())
     got = bpe.token_digests(odd, path).collect()
@@ -369,7 +361,7 @@ def test_language_posterior_by_hand():
 def test_language_addresses(spark):
     a = ["https://User@www.Shop.DE:80/x", "src8", "", None, "http://h.example.co.uk?x"]
     rows = spark.createDataFrame([(x,) for x in a], "u string").select(language_id.host_of(F.col("u")).alias("h")).select("h", language_id.suffix_of(F.col("h")).alias("s")).collect()
-    assert [(r.h, r.s) for r in rows] == [("www.shop.de", "de"), ("src8", None), (None, None), (None, None), ("h.example.co.uk", "uk")]
+    assert [(r.h, r.s) for r in rows] == [("www.shop.de", "de"), ("src8", ""), (None, None), (None, None), ("h.example.co.uk", "uk")]
     tag = spark.createDataFrame([('<!DOCTYPE html><html class="x" lang="FR-ca">',), ("<p>",)], "m string").select(language_id.declared_of(F.col("m")).alias("d")).collect()
     assert [r.d for r in tag] == ["fr", None]
 
@@ -498,3 +490,287 @@ def test_classifier_held_out_accuracy(spark):
     assert 0 <= out[9001].score <= 1 and out[9001].score == out[9002].score
     none = quality_classifier.quality_scores(docs, labels.limit(0)).select("score").distinct().collect()
     assert [r.score for r in none] == [0.5]
+
+
+# further cases, each by brute force
+
+
+def test_every_language_prior_by_brute_force(spark):
+    """identify() end to end: grouped counts, hierarchy and fusion against plain Python."""
+    import collections
+
+    from tallyforge.llm.language_id import BUCKETS, Settings, SUFFIX_LANGUAGE
+
+    s = Settings(sample=10**6, smoothing=3.0)
+    r = random.Random(21)
+    hosts = {"a.fr": "fr", "b.fr": "fr", "c.de": "de", "d.org": "en", "plain": "en"}
+    rows = [(i, words_of(hosts[h], i, 8), hosts[h] if r.random() < 0.8 else None, f"http://{h}/x") for i in range(90) for h in [r.choice([*hosts])]]
+    rows += [(500, words_of("en", 3, 2), None, "new.fr"), (501, "x", None, "new.fr"), (502, "x", None, None), (503, None, "fr", "a.fr")]
+    got = {x.doc_id: x.language for x in language_id.identify(table(spark, rows), F.col("text"), F.col("lang"), F.col("source"), s).collect()}
+    names = ["de", "en", "fr"]
+    bare = lambda a: None if a is None else a.replace("http://", "").split("/")[0]
+    suffix = lambda h: None if h is None else h.rsplit(".", 1)[-1] if "." in h else ""
+    grams = {i: language_id.trigrams([t])[0] for i, t, *_ in rows}
+    fit = np.full((BUCKETS, 3), 0.05)
+    for i, _, said, _ in rows:
+        if said:
+            np.add.at(fit[:, names.index(said)], grams[i], 1)
+    logs = np.log(fit / fit.sum(0)).astype(np.float32).astype(float)
+    count = lambda keep: np.array([sum(x[2] == n and keep(bare(x[3])) for x in rows) for n in names], float)
+    for i, t, said, source in rows:
+        own = np.array([float(n == said) for n in names])
+        host = bare(source)
+        wide = np.full(3, 1 / 3)
+        for level in (lambda h: True, lambda h: host is not None and suffix(h) == suffix(host), lambda h: host is not None and h == host):  # noqa: B023
+            c = np.maximum(count(level) - own, 0)
+            wide = (c + s.smoothing * wide) / (c.sum() + s.smoothing)
+        p = np.append(np.log(wide) + np.log(1 - s.undetermined), np.log(s.undetermined))
+        for name, trust in ((said, s.trust), (SUFFIX_LANGUAGE.get(suffix(host)), s.suffix_trust)):
+            if name:
+                p[:3] += [np.log(trust) if n == name else np.log((1 - trust) / 2) for n in names]
+                p[3] += np.log(1 / 3)
+        n = len(grams[i])
+        scale = min(1.0, s.effective / max(n, 1))
+        p[:3] += scale * (logs[grams[i]].sum(0) if n else 0)
+        p[3] += -np.log(BUCKETS) * n * scale
+        p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+        assert got[i].lang == [*names, None][p.argmax()] and abs(got[i].confidence - p.max()) < 1e-6, (i, p)
+        assert got[i].kept == (n > 0 and p.argmax() < 3 and p.max() >= s.least)
+    assert collections.Counter(x[2] for x in rows)["fr"] > 10 and got[501].lang == "fr"
+
+
+def test_language_clashing_names_and_shuffled_priors(spark, monkeypatch):
+    rows = [(i, words_of("fr", i), "fr", "a.fr") for i in range(10)] + [(20, "x", None, "b.fr"), (21, "x", None, None)]
+    df = table(spark, rows).withColumns({"language": F.lit(1), "host_n": F.lit(2)})
+    one = language_id.identify(df, F.col("text"), F.col("lang"), F.col("source"))
+    assert one.columns == [*df.columns, "language_"]
+    monkeypatch.setattr(language_id, "BROADCAST_COUNTS", 0)
+    assert sorted(map(str, language_id.identify(df, F.col("text"), F.col("lang"), F.col("source")).collect())) == sorted(map(str, one.collect()))
+
+
+def test_language_of_pages(spark, tmp_path):
+    html = lambda lang, i: f"<html lang='{lang}'><script>var the = 1;</script><body><p>{words_of(lang, i)}</p></body></html>"
+    rows = [(i, f"http://{lang}.example.org/{i}", html(lang, i)) for i in range(30) for lang in [("en", "de", "fr")[i % 3]]] + [(90, "http://de.example.org/z", f"<p>{words_of('de', 5)}</p>"), (91, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in language_id.pages(spark, str(tmp_path)).collect()}
+    assert all(got[i].lang == ("en", "de", "fr")[i % 3] for i in range(30)) and got[90].lang == "de" and not got[91].kept
+
+
+def test_neighbours_of_repeats_and_huge_values(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (50, [1.0, 0.01]), (50, [1.0, 0.01]), (100, [1e200, 1e200]), (3, [1e-200, 1e-200]), (150, [1.7e308, 0.0]), (4, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in hnsw.nearest(df, F.col("vec_id") % 50 == 0, k=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert [i for i, _ in got[50]] == [1, 1, 4, 150] and [i for i, _ in got[100]][:1] == [3] and abs(got[100][0][1] - 1) < 1e-12
+    assert [i for i, _ in got[150]] == [1, 1, 4, 50] and got[150][0][1] == 1.0 and all(np.isfinite(s) for x in got.values() for _, s in x)
+
+
+def test_recall_of_a_full_shard_of_hard_vectors():
+    """Isotropic Gaussian vectors, queries that are not in the graph, a shard as large as the bound allows."""
+    r = np.random.default_rng(22)
+    x, q = (r.normal(size=(n, 64)).astype(np.float32) for n in (hnsw.SHARD_ROWS, 256))
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, q))
+    best = np.argsort(-(q @ x.T), axis=1)[:, :5]
+    found = hnsw.Graph.build(x).search(q, 6, hnsw.ASK)[0][:, :5]
+    assert np.mean([len({*a} & {*b}) for a, b in zip(found.tolist(), best.tolist(), strict=True)]) / 5 >= 0.9
+    assert hnsw.shard_count(10**6, 64) == -(-(10**6) // hnsw.SHARD_ROWS) and hnsw.shard_count(10**6, 4096) == -(-(10**6) // 4096)
+
+
+def _pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_fixity_trees_stand_alone_and_descents_are_short(spark):
+    """A replica's tree by hand; equal roots end the audit; clustered damage compares few nodes."""
+    rows = [(i, "u", f"page {i}") for i in range(6000)]
+    record = warc_fixity.warc_record(F.col("url"), F.col("html"))
+    made = lambda r, n: warc_fixity.merkle_tree(warc_fixity.replica_records(_pages(spark, r), "page_id", record), n)
+    levels = warc_fixity.levels_for(len(rows))
+    one = made(rows, levels)
+    held = one.records.orderBy("place").collect()
+    assert [r.key for r in held] == list(range(6000)) and [r.offset for r in held] == [0, *itertools.accumulate(r.length for r in held)][:-1]
+    marks = {r.place: r.h for r in one.records.select("place", F.xxhash64("place").alias("h")).collect()}
+    node, want = "", collections.defaultdict(list)
+    for r in held:
+        node = r.place if marks[r.place] % (1 << warc_fixity.LEAF_BITS) == 0 else node
+        assert r.node == node
+        want[node].append(f"{r.place} {r.copies}")
+    hashes = {n: hashlib.sha256("\n".join(x).encode()).hexdigest() for n, x in want.items()}
+    assert {r.node: r.hash for r in one.levels[0].collect()} == hashes
+    above = hashlib.sha256("\n".join(f"{r.node} {r.hash}" for r in sorted(one.levels[-2].collect())).encode()).hexdigest()
+    assert one.root() == above == made(rows[::-1], levels).root() and one.levels[-1].count() == 1
+    same = warc_fixity.compared_nodes(one, made(rows, levels))
+    assert len(same) == 1 and same[0].count() == 1
+    damaged = [(k, u, h + "!" if 2000 <= k < 2010 else h) for k, u, h in rows if not 4000 <= k < 4005]
+    steps = warc_fixity.compared_nodes(one, made(damaged, levels))
+    assert len(steps) == levels + 1 and sum(s.count() for s in steps) < 0.7 * sum(x.count() for x in one.levels) and steps[0].where("differs").count() <= 8
+
+
+def test_fixity_ignores_other_columns_and_pairs_a_crowd(spark):
+    rows = [(1, "u", f"r{i}") for i in range(3000)]
+    a = _pages(spark, rows).withColumns({"node": F.lit(1), "digest": F.lit(2), "Place": F.lit(3)})
+    b = _pages(spark, [(k, u, h + "~") for k, u, h in rows[:2999]])
+    out = warc_fixity.fixity_audit(a, b, "page_id", warc_fixity.warc_record(F.col("url"), F.col("html"))).groupBy("status").count().collect()
+    assert {r[0]: r[1] for r in out} == {"corrupt": 2999, "missing": 1}
+
+
+def brute_maximal(words, least):
+    """For each place, the longest maximal repeat that begins there."""
+    n, places = len(words), collections.defaultdict(list)
+    for i in range(n):
+        for k in range(least, n - i + 1):
+            places[tuple(words[i : i + k])].append(i)
+    out = [0] * n
+    for w, at in places.items():
+        right, left = {words[i + len(w)] if i + len(w) < n else None for i in at}, {words[i - 1] if i else None for i in at}
+        if len(at) > 1 and len(left) > 1 and len(right) > 1:
+            for i in at:
+                out[i] = max(out[i], len(w))
+    return out
+
+
+def test_maximal_repeats_against_brute_force():
+    r = random.Random(3)
+    for turn in range(150):
+        docs = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 40))] for _ in range(4)]
+        docs[1] = docs[1] * 3 if turn % 3 == 0 else docs[1]
+        least = r.choice([1, 2, 3, 8])
+        s = np.array([ord(x) - 97 for d in docs for x in d], np.int64)
+        doc = np.repeat(np.arange(4), [len(d) for d in docs])
+        order, lcp = quality_rules.common_prefixes(s, doc)
+        assert list(quality_rules.maximal_repeats(s, doc, order, lcp, least)) == [x for d in docs for x in brute_maximal(d, least)]
+        again = np.zeros(len(s), np.int64)
+        again[order] = np.maximum(lcp, np.concatenate((lcp[1:], [0]))) if len(s) else lcp
+        assert list(again) == [x for d in docs for x in brute_repeats(d)]
+
+
+def test_quality_measures_against_brute_force():
+    r = random.Random(23)
+    names = [f.split()[0] for f in quality_rules.OUT.split(", ")]
+    for _ in range(60):
+        words = [r.choice("the a of to in".split()) if r.random() < 0.5 else f"w{r.randrange(60)}#"[: r.randint(2, 4)] for _ in range(r.randint(0, 160))]
+        words += words[10:50] * r.randint(0, 2)
+        text = "".join(w + r.choice([" ", "\n", "\t", "  "]) for w in words)
+        m = dict(zip(names, quality_rules.measure([text])[0], strict=True))
+        best, n = brute_maximal(words, 8), len(words)
+        windows, spans = [False] * n, [False] * n
+        for i in range(n - 2):
+            if sum(words[j : j + 3] == words[i : i + 3] for j in range(n - 2)) > 1:
+                windows[i : i + 3] = [True] * 3
+        for i, k in enumerate(best):
+            spans[i : i + k] = [True] * k
+        lines = [x for x in text.split("\n") if x.split()]
+        assert m["n_words"] == n and m["word_chars"] == sum(map(len, words)) and m["n_symbols"] == text.count("#") and m["n_dup_lines"] == len(lines) - len(set(lines))
+        assert m["n_repeat_words"] == sum(windows) and m["covered_chars"] == sum(len(w) for w, x in zip(words, spans, strict=True) if x)
+        assert m["base_failed"] == (n < 50 or 100 * sum(windows) > 50 * n)
+
+
+def test_bpe_of_long_words_and_empty_tables(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    theirs, ours, r = tokenizers.Tokenizer.from_file(path), bpe.WordBPE.load(open(path).read()), random.Random(24)
+    for n in (1023, 1024, 1025, 1026, 1027, 2049, 30_000):
+        for letters in ("etaoinshrdlu", "ab", "a"):
+            text = "".join(r.choice(letters) for _ in range(n))
+            assert ours.encode([text])[0].tolist() == theirs.encode(text, add_special_tokens=False).ids
+    df = table(spark, [(1, "a b")]).withColumns({"ids": F.lit(7), "decoded": F.lit(8), "n_tokens": F.lit(9)})
+    assert bpe.with_decoded(bpe.with_tokens(df, path), path, ids="ids_").columns == [*df.columns, "ids_", "decoded_"]
+    assert bpe.with_token_count(df, path).first()["n_tokens_"] == 2
+    assert bpe.token_digests(empty(spark), path).count() == 0 and bpe.with_tokens(empty(spark), path).count() == 0
+
+
+def test_fingerprint_keeps_a_column_of_its_name(spark):
+    out = simhash.with_fingerprint(table(spark, [(1, "a")]).withColumn("fp", F.lit(3)))
+    assert out.columns[-2:] == ["fp", "fp_"] and out.first().fp == 3
+
+
+def test_pack_against_brute_force():
+    """The choice of the longest length and the downsizing of bins, by trying all."""
+    lengths = packing.Lengths(permitted=(4, 8, 16), per_bin=2)
+    r = random.Random(25)
+    for _ in range(100):
+        sizes = sorted((r.randint(1, 16) for _ in range(r.randint(0, 20))), reverse=True)
+        tried = []
+        for n in (1, 2, 3):
+            if not sizes or (4, 8, 16)[n - 1] >= sizes[0]:
+                bins = packing.best_fit(sizes, (4, 8, 16)[:n], lengths)
+                tried.append(sum(min(c for c in (4, 8, 16) if c >= sum(sizes[i] for i in b)) + 2 for b in bins))
+        got = packing.pack(sizes, lengths)
+        assert sum(c + 2 for c, _ in got) == min(tried) and all(c == min(x for x in (4, 8, 16) if x >= sum(sizes[i] for i in b)) for c, b in got)
+
+
+def test_packed_sequences_hold_the_tokens(spark, odd):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    ours = bpe.WordBPE.load(open(path).read())
+    docs = odd.withColumns({"n_tokens": F.lit(1), "ids": F.lit(2)})
+    small = packing.Lengths(permitted=(64, 256, 1024))
+    pieces = {(r.bin_id, r.bin_offset): r for r in packing.pack_texts(docs, path, small).collect()}
+    ids = {(r.doc_id, len(i)): i.tolist() for r in docs.select("doc_id", "text").collect() for i in ours.encode([r.text or ""])}
+    total = 0
+    for b in packing.packed_sequences(docs, path, small).collect():
+        assert len(b.tokens) <= b.capacity
+        for x in b.starts:
+            p = pieces[b.bin_id, x.offset]
+            whole = next(i for (d, _), i in ids.items() if d == x.doc_id and i[p.first_token : p.first_token + p.n_tokens] == list(b.tokens[x.offset : x.offset + p.n_tokens]))
+            total += p.n_tokens
+            assert whole and p.doc_id == x.doc_id
+    assert total == sum(len(ours.encode([r.text or ""])[0]) for r in docs.select("text").collect())
+
+
+def test_kd_tree_by_hand(spark):
+    """Every cut lies in its node's widest dimension and parts its bytes as near to their shares as rows allow."""
+    r = random.Random(26)
+    rows = [(i, r.choice([1, 2, 2, 2, 9]), r.gauss(0, 3), r.choice([5, 5, 60])) for i in range(700)]
+    df = spark.createDataFrame([(i, float(x), y, s) for i, x, y, s in rows], "id long, x double, y double, size long").withColumns({"_node": F.lit(7), "_size": F.lit(8), "_tie": F.lit(9), "shard": F.lit(0)})
+    out, made = kd_sharding.kd_tree(df, ["x", "y"], "size", ["id"], shards=6)
+    assert out.columns == [*df.columns, "shard_"]
+    ties = {t.id: t.t for t in df.select("id", F.pmod(F.xxhash64("id"), F.lit(kd_sharding._TIE)).alias("t")).collect()}
+    everyone = [((x, y), s, ties[i], i) for i, x, y, s in rows]
+    spread = [np.std([e[0][k] for e in everyone]) for k in (0, 1)]
+    shards, todo = {}, [(1, 0, 6, everyone)]
+    while todo:
+        n, a, b, here = todo.pop()
+        if b - a == 1:
+            shards |= {e[3]: a for e in here}
+            continue
+        c, middle = made[n], a + -(-(b - a) // 2)
+        wide = [np.std([e[0][k] for e in here]) / spread[k] for k in (0, 1)]
+        assert abs(wide[c.dim] - max(wide)) < 1e-9
+        left = [e for e in here if (e[0][c.dim], e[2]) < (c.value, c.tie)]
+        right = [e for e in here if (e[0][c.dim], e[2]) >= (c.value, c.tie)]
+        want = (middle - a) / (b - a) * sum(e[1] for e in here)
+        assert abs(sum(e[1] for e in left) - want) <= 60
+        todo += [(2 * n, a, middle, left), (2 * n + 1, middle, b, right)]
+    assert {x.id: x.shard_ for x in out.collect()} == shards
+    by_bytes = kd_sharding.kd_shards(df.drop("shard"), ["x", "y"], "size", ["id"], target_bytes=1000).groupBy("shard").agg(F.sum("size").alias("m")).collect()
+    total = sum(e[1] for e in everyone)
+    assert len(by_bytes) == -(-total // 1000) and max(x.m for x in by_bytes) <= 1000 + 4 * 60
+
+
+def test_classifier_awkward_rows(spark, odd):
+    rows = [(i, prose(i, 3) if i % 2 else prose(i, 3).upper()) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = table(spark, rows).union(odd.withColumn("doc_id", F.col("doc_id") + 1000)).withColumns({"score": F.lit(1), "y": F.lit(2), "_h": F.lit(3)})
+    out = quality_classifier.quality_scores(docs, labels.withColumn("text", F.lit("x"))).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+    assert len({r.score for r in out if r.doc_id in (1001, 1002, 1003)}) == 1 and len({r.score for r in out if r.doc_id in (1004, 1005)}) == 1
+    assert quality_classifier.quality_scores(empty(spark), labels).count() == 0
+    scored = quality_classifier.with_score(docs, np.zeros((1 << quality_classifier.BITS) + 1))
+    assert scored.columns[-1] == "score_" and {r.score for r in scored.collect()} == {1}
+
+
+def test_scopes_leave_nothing_behind(spark):
+    """Intermediate tables are deleted and the session's settings are as they were, whichever query ran."""
+    import os
+
+    from tallyforge.llm import queries
+    from tallyforge.llm.common import scope, shared_dir
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    at, before, setting = shared_dir(spark), None, spark.conf.get(name, None)
+    before = set(os.listdir(at))
+    for q in ("op1_substring_dedup", "op3_warc_merkle_fixity", "op5_simhash_near_dedup", "op9_kd_tree_sharding"):
+        with scope(spark):
+            assert queries.QUERIES[q](spark, "/root/testdata/sf0.001").count() > 0 and set(os.listdir(at)) > before
+        assert set(os.listdir(at)) == before and spark.conf.get(name, None) == setting

@@ -4,6 +4,7 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
+from tallyforge.llm.bpe import WordBPE  # noqa: E402
 from tests.llm.test_llm import brute_dedup, brute_fingerprint, prose, table  # noqa: E402
 
 
@@ -34,7 +35,8 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert {r.doc_id: r.text for r in out[3][1].collect()} == {k: t for k, t in texts.items() if t.split()}
     assert all(d.columns == ["doc_id", "text", "lang", "source", "n_chars"] for _, d in out[:4])
     packed = out[4][1].collect()
-    assert {r.doc_id: r.n_tokens for r in packed} == {k: len(t.encode().split()) for k, t in texts.items() if t.split()}
+    tokens = WordBPE.load(open(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")).read())
+    assert {r.doc_id: r.n_tokens for r in packed} == {k: len(tokens.encode([t])[0]) for k, t in texts.items() if t.split()}
 
 
 def test_run_on_an_empty_table(spark, tmp_path):
@@ -69,3 +71,25 @@ def test_near_copies_from_similarity_0_8(spark):
     kept = {x.doc_id for x in pipeline.simhash_near_dedup(spark, table(spark, docs), "").collect()}
     assert {d for d, _ in docs} - kept == gone
     assert near_copies.similarity(near_copies.shingle_set(None), near_copies.shingle_set(" ")) == 1.0
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty, repeated and very long texts, clashing names: nothing crashes, and what is good is packed."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm.common import scope, shared_dir
+    from tests.llm.test_llm import rough
+
+    docs = rough(spark).withColumns({"lang": F.coalesce("lang", F.lit("en")), "_count": F.lit(1), "_removed": F.lit(2), "n_removed": F.lit(3), "kept": F.lit(True), "fp": F.lit(4), "h": F.lit(5), "language": F.lit("x")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(os.listdir(shared_dir(spark)))
+    with scope(spark):
+        got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {4, 7, None} and set(os.listdir(shared_dir(spark))) == before
+    assert sum(r.n_tokens for r in got if r.doc_id == 4) > 20_000 and {r.copy for r in got if r.doc_id == 7} == {0, 1}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.columns == spark.read.parquet(str(tmp_path / "documents.parquet")).columns
