@@ -24,11 +24,23 @@ from .common import small_batches, with_column
 _NONE = np.iinfo(np.int64).max
 #: Words kept encoded between batches of a task, leaves of the trees that are built together, and leaves from which a
 #: word's tree is worked alone: few words are that long, and each takes very many steps.
-KEPT_WORDS, LEAVES_AT_ONCE, LONG_TREE = 300_000, 1 << 20, 1 << 10
+KEPT_WORDS, LEAVES_AT_ONCE, LONG_TREE = 500_000, 1 << 20, 1 << 10
 #: White space as Unicode defines it; Python's own classes also hold the four separators from U+001C.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+class _Numbers(dict):
+    """Words, numbered as they are first asked for; fresh holds those that are not encoded yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 def byte_letters() -> list[str]:
     """The printable character that byte-level vocabularies use for each byte: itself if printable, else one from U+0100."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -75,15 +87,10 @@ class WordBPE:
         return cls(json.loads(spec))
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.pool, self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        if self.special:
-            self._add([*self.special], np.array([*self.special.values()], np.int64), np.ones(len(self.special), np.int64))
-
-    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(counts) - counts))
-        self.pool, self.count = np.concatenate((self.pool, ids)), np.concatenate((self.count, counts))
-        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
+        self.code = _Numbers()
+        self.code.update((w, k) for k, w in enumerate(self.special))
+        self.pool, self.count = np.array([*self.special.values()], np.int64), np.ones(len(self.special), np.int64)
+        self.start = np.arange(len(self.special))
 
     def words(self, text: str) -> list[str]:
         """The words of a text that holds no special token."""
@@ -247,20 +254,23 @@ class WordBPE:
                 put(prior, none if left is None else left * leaves + prior)
         return [x for x in sym if x >= 0]
 
-    def learn(self, each: list[list[str]]) -> None:
-        """Encode the words that are not kept yet."""
-        fresh = [*(set(chain.from_iterable(each)) - self.code.keys())]
+    def learn(self) -> None:
+        """Encode the words that were met for the first time."""
+        fresh = self.code.fresh
         if fresh:
-            self._add(fresh, *self.encode_words(fresh))
+            ids, counts = self.encode_words(fresh)
+            self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(counts) - counts))
+            self.pool, self.count = np.concatenate((self.pool, ids)), np.concatenate((self.count, counts))
+            fresh.clear()
 
-    def codes(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def codes(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's words among the words kept."""
-        each = [self.pieces(t) for t in texts]
         if len(self.code) > KEPT_WORDS:
             self.forget()
-        self.learn(each)
-        for words in each:
-            yield np.array([*map(self.code.__getitem__, words)], np.int64)
+        number = self.code.__getitem__
+        out = [np.array([*map(number, self.pieces(t))], np.int64) for t in texts]
+        self.learn()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -287,7 +297,7 @@ def read_spec(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
-def _texts_at_once(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
+def _texts_at_once(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
     some, size = [], 0
     for t in texts:
         if some and size + len(t) > chars:
