@@ -73,13 +73,16 @@ class WordBPE:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
+        low = max([*self.inner.tolist(), *self.final.tolist()]) + 1  # ranks of pairs of bytes, where words begin
+        left, right = np.divmod(np.arange(low * low), low)
+        self.first_ranks, self.low = self.rank(left, right), low
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.any_words = None
         self.rank_of: dict[int, int] | None = None
         # The same pattern for texts below U+0100, where the letters can be listed.
         letter = "".join(f"\\x{i:02x}" for i in range(256) if chr(i).isalpha())
         number = "".join(f"\\x{i:02x}" for i in range(256) if unicodedata.category(chr(i))[0] == "N")
-        self.latin_words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+").findall
+        self.latin_words = re.compile(rf"[{letter}]+|'(?:[stmd]|re|ve|ll)|[{number}]|[^{_SPACE}{letter}{number}]+").findall
         self.forget()
 
     @classmethod
@@ -105,7 +108,7 @@ class WordBPE:
         if self.any_words is None:
             import regex
 
-            self.any_words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+").findall
+            self.any_words = regex.compile(rf"[\p{{L}}]+|'(?:[stmd]|re|ve|ll)|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+").findall
         return self.any_words(text)
 
     def pieces(self, text: str) -> list[str]:
@@ -165,7 +168,7 @@ class WordBPE:
         tree = np.full((n, 2 * leaves), _NONE)
         bits = leaves.bit_length() - 1 if leaves > 1 else 1
         pair = place[:leaves] < size[:, None] - 1
-        r = self.rank(sym[:, :leaves][pair], sym[:, 1 : leaves + 1][pair])
+        r = self.first_ranks[sym[:, :leaves][pair] * self.low + sym[:, 1 : leaves + 1][pair]]
         leaf = np.full((n, leaves), _NONE)
         leaf[pair] = np.where(r < top, (r << bits) | np.broadcast_to(place[:leaves], (n, leaves))[pair], _NONE)
         tree[:, leaves:] = leaf
