@@ -14,16 +14,16 @@ import numpy as np
 
 BLOCK, INK, QUALITIES, LEAST_QUALITY = 32, 12.0, (75, 90, 95), 85
 #: The standard luminance quantisation table of JPEG (ITU T.81, annex K), row by row.
-LUMA = """
-16 11 10 16 24 40 51 61
-12 12 14 19 26 58 60 55
-14 13 16 24 40 57 69 56
-14 17 22 29 51 87 80 62
-18 22 37 56 68 109 103 77
-24 35 55 64 81 104 113 92
-49 64 78 87 103 121 120 101
-72 92 95 98 112 100 103 99
-"""
+LUMA = (
+    16, 11, 10, 16, 24, 40, 51, 61,
+    12, 12, 14, 19, 26, 58, 60, 55,
+    14, 13, 16, 24, 40, 57, 69, 56,
+    14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77,
+    24, 35, 55, 64, 81, 104, 113, 92,
+    49, 64, 78, 87, 103, 121, 120, 101,
+    72, 92, 95, 98, 112, 100, 103, 99,
+)
 
 
 def luma_table(data: bytes) -> list[int] | None:
@@ -53,7 +53,7 @@ def jpeg_quality(data: bytes) -> int | None:
     found = luma_table(data)
     if found is None:
         return None
-    base, own = np.array(LUMA.split(), np.int64), np.sort(np.array(found))
+    base, own = np.array(LUMA, np.int64), np.sort(np.array(found))
     scale = lambda q: 5000 / q if q < 50 else 200 - 2 * q
     off = [int(np.abs(np.sort(np.clip((base * scale(q) + 50) // 100, 1, 255)) - own).sum()) for q in range(1, 101)]
     return 1 + off.index(min(off))

@@ -59,8 +59,8 @@ def day_first_evidence(dates: DataFrame, column: str) -> DataFrame:
     pattern = r"(?U)^\s*(\d{1,2})[/.\-](\d{1,2})[/.\-]\d{2,4}\b"
     part = lambda g: F.try_to_number(F.nullif(F.regexp_extract(F.col(column).cast("string"), pattern, g), F.lit("")), F.lit("99"))
     found = dates.agg(F.coalesce(F.bool_or(part(1) > 12), F.lit(False)).alias("d"), F.coalesce(F.bool_or(part(2) > 12), F.lit(False)).alias("m"), F.count(part(1)).alias("n"))
-    both = "Dates are written in both orders (some like 13/01, some like 01/13). They were read as day-first where they fit. Check the file."
-    neither = "Every date like 03/01/2024 could be day- or month-first; they were read as month-first (March 1). If they are day-first, choose day-first and load the file again."
+    both = "Some dates can only be day-first and others only month-first; each was read in the order that fits it. Look through the dates before you rely on them."
+    neither = "No date shows whether day or month comes first; months were taken to come first. Import again as day-first if that is wrong."
     return found.select(F.col("d").alias("day_first"), F.when(F.col("d") & F.col("m"), both).when(~F.col("d") & ~F.col("m") & (F.col("n") > 0), neither).alias("warning"))
 
 
