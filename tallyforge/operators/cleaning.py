@@ -12,12 +12,12 @@ from ..settings import DEFAULT, Settings
 def usd_rates(spark: SparkSession, table: DataFrame | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """(currency, usd_per_unit): the default rates, overridden by a table of the same columns where one is given.
 
-    There are as many rows as currencies, so the result is small by nature."""
+    Of several rates of a currency the highest counts. There are as many rows as currencies, so the result is small."""
     default = spark.createDataFrame(sorted(settings.rates.items()), "currency string, usd_per_unit double")
     if table is None:
         return default
     own = table.select(F.upper(text.strip(F.col("currency"))).alias("currency"), F.col("usd_per_unit").cast("double").alias("usd_per_unit"))
-    own = own.groupBy("currency").agg(F.last("usd_per_unit").alias("usd_per_unit"))
+    own = own.groupBy("currency").agg(F.max("usd_per_unit").alias("usd_per_unit"))
     return own.union(default.join(own, "currency", "left_anti"))
 
 
