@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -17,16 +17,14 @@ BROADCAST_ROWS = 100_000
 
 
 def numbered(rows: DataFrame, name: str, start: int = 1, step: int = 1) -> DataFrame:
-    """rows with a gapless number in input order. Only the partitions' row counts reach the driver."""
-    rows = rows.withColumn("_m", F.monotonically_increasing_id()).persist()
+    """rows with a gapless number in input order. The partitions' first places are joined: a row for each partition."""
+    rows = written(rows.withColumn("_m", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_m", 33)
-    counts = sorted(rows.groupBy(part.alias("p")).count().collect())
-    first, at = F.lit(0).cast("long"), 0
-    for p, n in counts:
-        first = F.when(part == p, F.lit(at).cast("long")).otherwise(first)
-        at += n
-    place = first + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn(name, F.lit(start) + F.lit(step) * place).drop("_m")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
+    place = F.col("_first") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    out = rows.join(F.broadcast(first), part == F.col("_p")).withColumn(name, F.lit(start) + F.lit(step) * place)
+    return out.drop("_m", "_p", "_first")
 
 
 def prepare(new: DataFrame) -> DataFrame:
