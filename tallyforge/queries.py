@@ -266,12 +266,12 @@ def check_log_projection(spark, sf_dir):
 
 
 def receipt_fields(spark, sf_dir):
-    rows = derive.receipts(spark, sf_dir).select("id", receipts.fields(F.col("receipt")).alias("f"))
+    rows = scratch.spread(derive.receipts(spark, sf_dir)).select("id", receipts.fields(F.col("receipt")).alias("f"))
     return rows.select("id", "f.vendor_name", F.date_format("f.invoice_date", "yyyy-MM-dd").alias("invoice_date"), "f.amount", "f.currency")
 
 
 def receipt_invoice_number(spark, sf_dir):
-    return derive.receipts(spark, sf_dir).select("id", receipts.invoice_number(F.col("receipt")).alias("invoice_id"))
+    return scratch.spread(derive.receipts(spark, sf_dir)).select("id", receipts.invoice_number(F.col("receipt")).alias("invoice_id"))
 
 
 def documents_amounts(spark, sf_dir):
@@ -363,6 +363,10 @@ _NEIGHBOURS = "nb AS MATERIALIZED (SELECT x.c_custkey AS id, x.c_name || ' ' ||
 _AMOUNT_TEXT = "CASE WHEN id % 47 = 0 THEN 'n/a' ELSE '$ ' || CAST(floor(amount) AS BIGINT)::VARCHAR || '.' || lpad((id % 100)::VARCHAR, 2, '0') END"
 _V = "v AS MATERIALIZED (SELECT vendor_id, arg_min(vendor_name, id) AS vendor_name, count(*) AS n FROM (SELECT * REPLACE ('V-' || vendor_id AS vendor_id) FROM inv) GROUP BY vendor_id), k AS MATERIALIZED (SELECT *, " + _clean_sql("vendor_name") + " AS c FROM v), mm AS MATERIALIZED (SELECT vendor_id, first_value(vendor_id) OVER (PARTITION BY c ORDER BY n DESC, vendor_id) AS keep FROM k)"
 
+# Without lookaround: an amount's first digit stands behind the start or a sign that is neither digit nor stop, and what is behind it is looked at by itself.
+_AMOUNTS_SQL = r"list_filter(regexp_extract_all(' ' || text, '[^0-9.](?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)\.[0-9]+'), lambda a: regexp_matches(a, '\.[0-9]{2}$'))"
+_CURRENCY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for c, p in receipts.CURRENCIES) + " END"
+
 ORACLE_SQL = {
     "exact_duplicates": f"WITH {_INV}, {_CL} SELECT id FROM (SELECT id, {_EXACT} AS x FROM cl) WHERE x",
     "same_number_rebilled": f"WITH {_INV}, {_CL} SELECT id FROM (SELECT id, key, {_EXACT} AS x, count(*) OVER (PARTITION BY vendor_id, key) AS n, row_number() OVER (PARTITION BY vendor_id, key ORDER BY {_SEQ}) AS k FROM cl) WHERE key <> '' AND n = 2 AND k = 2 AND NOT x",
@@ -403,5 +407,6 @@ ORACLE_SQL = {
     "related_records": f"{_CHECKED} SELECT a.id AS new_id, b.id AS record_id, CASE WHEN a.amount_usd = b.amount_usd THEN 'exact' ELSE 'same number' END AS match_type, b.invoice_id, b.vendor_name, strftime(b.invoice_date, '%Y-%m-%d') AS invoice_date, round(b.amount, 4) AS amount FROM fs a JOIN fs b ON a.vendor_id = b.vendor_id AND a.key = b.key WHERE a.id < 0 AND a.key <> '' AND (b.id > 0 OR b.id > a.id) AND (a.amount_usd = b.amount_usd OR contains(a.flags, 'same_number'))",
     "check_log_projection": f"{_ALL} SELECT 'batch' AS source, 'upload.csv' AS file_name, invoice_id, vendor_name, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, round(amount, 4) AS amount, currency, round(s, 3) AS final_score, risk_category, flags, NULL::DOUBLE AS tamper_score, {_VERDICT} AS verdict, 'auditor' AS checked_by FROM fs WHERE risk_category <> 'LOW'",
     "receipt_fields": f"WITH {_INV} SELECT id, vendor_name, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, (CAST(floor(amount) AS BIGINT)::VARCHAR || '.' || lpad((id % 100)::VARCHAR, 2, '0'))::DOUBLE AS amount, CASE currency WHEN 'EUR' THEN 'EUR' WHEN 'INR' THEN 'INR' ELSE 'USD' END AS currency FROM inv",
+    "documents_amounts": rf"SELECT doc_id, coalesce(len({_AMOUNTS_SQL}), 0)::INTEGER AS n_amounts, {_CURRENCY_SQL} AS currency FROM documents",
     "receipt_invoice_number": f"WITH {_INV} SELECT id, replace(invoice_id, '-', '') AS invoice_id FROM inv",
 }

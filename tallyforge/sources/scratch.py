@@ -84,6 +84,12 @@ def setting(spark: SparkSession, name: str, value: str) -> None:
         spark.conf.set(name, value)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer than half as many partitions: for much work on each row of few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Scope]:
     """Deletes, at its end, the intermediate tables written inside, and puts changed session settings back. Results that
