@@ -275,7 +275,7 @@ def test_command_line(spark, tmp_path, capsys):
 
 def jpeg_bytes(quality):
     scale = 5000 / quality if quality < 50 else 200 - 2 * quality
-    table = bytes(int(x) for x in np.clip((np.array(images.LUMA.split(), np.int64) * scale + 50) // 100, 1, 255))
+    table = bytes(int(x) for x in np.clip((np.array(images.LUMA, np.int64) * scale + 50) // 100, 1, 255))
     return b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xdb" + struct.pack(">H", 67) + b"\x00" + table + b"\xff\xda\x00\x02"
 
 
@@ -300,3 +300,66 @@ def test_block_features_and_regions(spark):
     top = tamper.by_image(blocks.withColumn("p", F.col("bx") / 10), F.col("p")).first()
     assert (top.score, top.by) == (0.3, 3)
     assert tamper.best_threshold(spark.createDataFrame([(0.9, 1), (0.8, 1), (0.7, 0), (0.2, 0)], "score double, label int")) == 0.8
+
+
+def _bills(spark, *numbers, vendor="Acme Tools"):
+    return spark.createDataFrame([(n, vendor, dt.date(2024, 1, 1 + i % 28), 100.0 + i, "USD") for i, n in enumerate(numbers)], "invoice_id string, vendor_name string, invoice_date date, amount double, currency string")
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both writers read the same state; the second to commit starts again from the first one's."""
+    one, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    one.import_records(_bills(spark, "A1", "A2"))
+    real, waited = one._commit, []
+
+    def late(change, based_on=None):
+        if not waited:
+            waited.append(other.import_records(_bills(spark, "B1", "B2", "B3", vendor="Bolt Works")))
+            other.append("receipt_checks", spark.createDataFrame([(1, "x")], "id long, source string"))
+        return real(change, based_on)
+
+    one._commit = late
+    assert one.import_records(_bills(spark, "C1", vendor="Crane Hire")) == 1 and waited == [3]
+    rows = one.table("invoices").collect()
+    assert sorted(r.invoice_id for r in rows) == ["A1", "A2", "B1", "B2", "B3", "C1"] and len({r.id for r in rows}) == 6
+    assert one.table("vendors").count() == 3 and one.table("receipt_checks").count() == 1
+    before = one._state()
+    one._write = lambda *a: (_ for _ in ()).throw(OSError("stopped"))
+    with pytest.raises(OSError):
+        one.import_records(_bills(spark, "D1"))
+    assert other._state() == before and other.count_invoices() == 6
+
+
+def test_states_are_whole_and_vacuum_waits(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.import_records(_bills(spark, "A1"))
+    assert not store._write(store._names("state-")[-1], "{}") and store.count_invoices() == 1
+    store.replace(invoices=store.table("invoices").withColumn("amount", F.lit(5.0)), vendors=store.table("vendors"))
+    store._new_part("invoices", _bills(spark, "Z"))
+    assert store.vacuum() == 0 and store.vacuum(0) == 3 and [r.amount for r in store.table("invoices").collect()] == [5.0]
+    for i in range(25):
+        store.append("receipt_checks", spark.createDataFrame([(i, "x")], "id long, source string"))
+    assert len(store._names("state-")) == 21 and store.table("receipt_checks").count() == 25
+
+
+def test_batches_are_logged_and_added_together(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.import_records(_bills(spark, "A1"))
+    results, _ = store.check(_bills(spark, "B1", "B2", vendor="Bolt's Works"))
+    results = results.cache()
+    real = store._commit
+    store._commit = lambda *a, **k: (_ for _ in ()).throw(OSError("stopped"))
+    with pytest.raises(OSError):
+        store.log_batch(results, "it's #1", results)
+    store._commit = real
+    assert store.count_invoices() == 1 and store.table("receipt_checks").count() == 0
+    assert store.log_batch(results, "it's #1", results) and not store.log_batch(results, "it's #1", results)
+    assert store.count_invoices() == 3 and store.table("receipt_checks").count() == 2
+    with pytest.raises(ValueError):
+        store.add_to_records(results.withColumn("verdict", F.lit("SUSPICIOUS")))
+
+
+def test_numbered_over_many_partitions(spark):
+    rows = spark.range(1000).repartition(37, "id")
+    got = check.numbered(rows, "n", -1, -1).collect()
+    assert sorted(r.n for r in got) == list(range(-1000, 0)) and check.numbered(rows.limit(0), "n").count() == 0
