@@ -90,14 +90,15 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
 
     The first occurrence is the one of the least doc_id, then the earliest in its text (and of the least text hash,
     where rows share a doc_id). Whole repeated rows are one text: their runs are not repeats of each other. Half of the
-    hash finds the runs that may repeat, which are few; the whole hash decides among those.
+    hash finds the runs that may repeat, which are few; the whole hash decides among those. What the joins look up is
+    a table, so that a run with very many places can be split between tasks.
     """
     spans = stash(sentence_runs(docs), "spans")
-    halves = spans.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    halves = stash(spans.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "halves")
     some = stash(spans.join(halves, "h1", "left_semi"), "repeats")
     unstash(spans)
     here = F.struct("doc_id", "text_hash", "at")
-    seen = some.groupBy("h1", "h2").agg(F.min(here).alias("first"))
+    seen = stash(some.groupBy("h1", "h2").agg(F.min(here).alias("first")), "first")
     again = some.join(seen, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "len")).alias("spans"))
 
