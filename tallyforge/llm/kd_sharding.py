@@ -185,3 +185,14 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int |
 def op9(spark, sf_dir: str) -> DataFrame:
     out = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_law(spark, sf_dir: str) -> DataFrame:
+    """One row: what the law and the numbering promise of op9's whole result."""
+    out = op9(spark, sf_dir)
+    per = out.groupBy("shard").agg(F.sum("size").alias("m"), F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("k"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.max("size").alias("most"))
+    even = (F.max("m") - F.min("m") <= 4 * F.max("most")).alias("even")
+    return per.agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("documents"), F.sum("m").alias("bytes"), F.expr("bool_and(n = k AND lo = 0 AND hi = n - 1)").alias("gapless"), even)
+
+
+SHARD_LAW_SQL = "SELECT 8::BIGINT AS shards, count(*) AS documents, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, true AS gapless, true AS even FROM documents"

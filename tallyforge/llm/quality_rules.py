@@ -249,3 +249,20 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality_measures(docs).select("doc_id", "quality.*")
+
+
+def quality_base(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of the same measures: all but the method's own."""
+    return op2(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_BASE_SQL = r"""
+WITH word AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(text, '') AS t FROM documents),
+win AS (SELECT doc_id, i, list_aggregate(w[i : i + 2], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM word)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+held AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM again) GROUP BY doc_id),
+line AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM word) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(line.n, 0)::BIGINT AS n_dup_lines, coalesce(held.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(held.n, 0) > 50 * len(w) AS base_failed
+FROM word LEFT JOIN held USING (doc_id) LEFT JOIN line USING (doc_id)
+"""

@@ -16,10 +16,14 @@ QUERIES = {
     "op9_kd_tree_sharding": kd_sharding.op9,
     "op10_quality_classifier": quality_classifier.op10,
     "language_id_pages": language_id.pages,
+    "quality_base": quality_rules.quality_base,
+    "shard_law": kd_sharding.shard_law,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op3_warc_merkle_fixity": warc_fixity.OP3_SQL,
     "op8_hnsw_neighbours": hnsw.OP8_SQL,
+    "quality_base": quality_rules.QUALITY_BASE_SQL,
+    "shard_law": kd_sharding.SHARD_LAW_SQL,
 }
