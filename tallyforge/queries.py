@@ -251,7 +251,7 @@ def check_batch(spark, sf_dir):
 
 def related_records(spark, sf_dir):
     done = _checked(spark, sf_dir)
-    return check.related_records(audit.Scored(scratch.written(done.rows, "scored"), done.pairs, done.candidates)).where("match_type in ('exact', 'same number')").select("new_id", "record_id", "match_type", "invoice_id", "vendor_name", "invoice_date", F.round("amount", 4).alias("amount"))
+    return check.related_records(audit.Scored(scratch.written(done.rows, "scored"), done.pairs, done.candidates)).select("new_id", "record_id", "match_type", "invoice_id", "vendor_name", "invoice_date", F.round("amount", 4).alias("amount"))
 
 
 def reasons_text(spark, sf_dir):
@@ -404,7 +404,10 @@ ORACLE_SQL = {
     "markdown_escape": f"WITH {_INV} SELECT DISTINCT vendor_name, regexp_replace(vendor_name, '([[:punct:]])', '\\\\\\1', 'g') AS escaped FROM inv",
     "history_pruning": f"WITH {_INV_CHECK} SELECT id FROM inv WHERE id >= 0",
     "check_batch": f"{_CHECKED} SELECT id, round(s, 3) AS final_score, risk_category, {_VERDICT} AS verdict, flags FROM fs WHERE id < 0",
-    "related_records": f"{_CHECKED} SELECT a.id AS new_id, b.id AS record_id, CASE WHEN a.amount_usd = b.amount_usd THEN 'exact' ELSE 'same number' END AS match_type, b.invoice_id, b.vendor_name, strftime(b.invoice_date, '%Y-%m-%d') AS invoice_date, round(b.amount, 4) AS amount FROM fs a JOIN fs b ON a.vendor_id = b.vendor_id AND a.key = b.key WHERE a.id < 0 AND a.key <> '' AND (b.id > 0 OR b.id > a.id) AND (a.amount_usd = b.amount_usd OR contains(a.flags, 'same_number'))",
+    "related_records": f"""{_CHECKED}, same AS MATERIALIZED (SELECT a.id AS new_id, b.id AS record_id, CASE WHEN a.amount_usd = b.amount_usd THEN 'exact' ELSE 'same number' END AS match_type FROM fs a JOIN fs b ON a.vendor_id = b.vendor_id AND a.key = b.key
+  WHERE a.id < 0 AND a.key <> '' AND (b.id > 0 OR b.id > a.id) AND (a.amount_usd = b.amount_usd OR contains(a.flags, 'same_number'))),
+every AS (SELECT * FROM same UNION ALL SELECT rb, ra, match_type FROM npf WHERE rb < 0 AND NOT EXISTS (SELECT 1 FROM same s WHERE s.new_id = rb AND s.record_id = ra))
+SELECT new_id, record_id, match_type, b.invoice_id, b.vendor_name, strftime(b.invoice_date, '%Y-%m-%d') AS invoice_date, round(b.amount, 4) AS amount FROM every JOIN fs b ON b.id = record_id""",
     "check_log_projection": f"{_ALL} SELECT 'batch' AS source, 'upload.csv' AS file_name, invoice_id, vendor_name, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, round(amount, 4) AS amount, currency, round(s, 3) AS final_score, risk_category, flags, NULL::DOUBLE AS tamper_score, {_VERDICT} AS verdict, 'auditor' AS checked_by FROM fs WHERE risk_category <> 'LOW'",
     "receipt_fields": f"WITH {_INV} SELECT id, vendor_name, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, (CAST(floor(amount) AS BIGINT)::VARCHAR || '.' || lpad((id % 100)::VARCHAR, 2, '0'))::DOUBLE AS amount, CASE currency WHEN 'EUR' THEN 'EUR' WHEN 'INR' THEN 'INR' ELSE 'USD' END AS currency FROM inv",
     "documents_amounts": rf"SELECT doc_id, coalesce(len({_AMOUNTS_SQL}), 0)::INTEGER AS n_amounts, {_CURRENCY_SQL} AS currency FROM documents",
