@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import images
@@ -60,6 +60,54 @@ def best_threshold(scores: DataFrame) -> float:
     return float(counted["score"][f1.idxmax()])
 
 
+def image_scores(files: DataFrame, model, thresholds: dict[str, float]) -> DataFrame:
+    """(path, format, score, suspicious, x, y, width, height, reason): what the model says of image files (path, content).
+
+    thresholds: "jpeg" and "scan", the score from which a file of that format is suspicious. The box is the most
+    suspicious block. reason says why there is no score: a JPEG file too strongly compressed, or no ink.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    told = assessments(files)
+    fit = files.join(told.where("reason is null").select("path"), "path", "left_semi")
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(blocks(fit)))
+    return image_verdicts(told, by_image(scored, vector_to_array("probability")[1]), thresholds)
+
+
+def image_verdicts(told: DataFrame, scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """assessments() and by_image() as the result of image_scores()."""
+    rows = told.join(scores, "path", "left").withColumn("format", F.when(F.col("quality").isNull(), "scan").otherwise("jpeg"))
+    limit = F.when(F.col("format") == "jpeg", F.lit(thresholds["jpeg"])).otherwise(F.lit(thresholds["scan"]))
+    has = F.col("score").isNotNull()
+    corner = lambda c: F.when(has, F.col(c) * images.BLOCK)
+    side = F.when(has, F.lit(images.BLOCK))
+    reason = F.coalesce("reason", F.when(~has, "not checked: the image holds no ink"))
+    return rows.select("path", "format", "score", F.when(has, F.col("score") >= limit).alias("suspicious"), corner("bx").alias("x"), corner("by").alias("y"), side.alias("width"), side.alias("height"), reason.alias("reason"))
+
+
+def report(scores: DataFrame, threshold: float) -> DataFrame:
+    """One row over images (score, label): images, edited, roc_auc, precision, recall, f1 at the threshold.
+
+    The area under the curve counts, for each edited image, the others of a lower score, equal ones by half; only counts
+    by score are put in order. Where there is nothing to divide, a measure is 0.
+    """
+    counted = scores.groupBy("score").agg(F.sum("label").cast("double").alias("bad"), F.sum(1 - F.col("label")).cast("double").alias("good"))
+    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("under", F.coalesce(F.sum("good").over(below), F.lit(0.0)))
+    at = F.col("score") >= threshold
+    sums = ranked.agg(F.sum(F.col("bad") + F.col("good")).cast("long").alias("images"), F.sum("bad").alias("b"), F.sum("good").alias("g"), F.sum(F.col("bad") * (F.col("under") + F.col("good") / 2)).alias("won"), F.sum(F.when(at, F.col("bad"))).alias("hits"), F.sum(F.when(at, F.col("bad") + F.col("good"))).alias("flagged"))
+    part = lambda n, d: F.coalesce(F.try_divide(n, d), F.lit(0.0))
+    return sums.select("images", F.col("b").cast("long").alias("edited"), part("won", F.col("b") * F.col("g")).alias("roc_auc"), part("hits", "flagged").alias("precision"), part("hits", "b").alias("recall"), part(2 * F.col("hits"), F.col("flagged") + F.col("b")).alias("f1"))
+
+
+def folds_of(labelled: DataFrame, folds: int) -> DataFrame:
+    """(path, fold): all blocks of an image in one fold, and as many edited images in each as can be: images of each kind
+    are dealt out in the order of a hash."""
+    kinds = labelled.groupBy("path").agg(F.max("label").alias("_kind"))
+    return kinds.select("path", F.pmod(F.row_number().over(Window.partitionBy("_kind").orderBy(F.xxhash64("path"), "path")) - 1, F.lit(folds)).alias("fold"))
+
+
 def train(labelled: DataFrame, folds: int = 5, **params):
     """(model, threshold): boosted trees over FEATURES, classes balanced by weight; the threshold has the best F1 on
     images scored by models that have not seen them (all blocks of an image are in one fold)."""
@@ -68,7 +116,7 @@ def train(labelled: DataFrame, folds: int = 5, **params):
     from pyspark.ml.functions import vector_to_array
 
     share = labelled.agg(F.avg("label")).first()[0] or 0.5
-    rows = labelled.withColumns({"weight": F.when(F.col("label") > 0, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)), "fold": F.pmod(F.xxhash64("path"), F.lit(folds))})
+    rows = labelled.withColumns({"weight": F.when(F.col("label") > 0, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)), }).join(folds_of(labelled, folds), "path")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).persist()
     trees = GBTClassifier(labelCol="label", weightCol="weight", seed=7, **params)
     held = None
