@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..settings import DEFAULT, Settings
+from ..sources.scratch import written
 
 #: Known names that one row of the search holds.
 BLOCK = 2000
@@ -69,7 +70,7 @@ def resolve_vendors(rows: DataFrame, vendors: DataFrame, settings: Settings = DE
     else a new id from the name. Distinct names are resolved, not rows."""
     if not rows.where("vendor_id is null").head(1):
         return rows.withColumn("vendor_id", F.col("vendor_id").cast("string"))
-    known = known_names(vendors).persist()
+    known = written(known_names(vendors), "known")
     rows = rows.withColumn("_clean", text.vendor_clean(F.col("vendor_name")))
     names = rows.where("vendor_id is null").select(F.col("_clean").alias("clean")).distinct()
     exact = names.join(known.select("clean", "vendor_id"), "clean", "left")
@@ -83,7 +84,7 @@ def resolve_vendors(rows: DataFrame, vendors: DataFrame, settings: Settings = DE
 
 def closest_vendors(rows: DataFrame, vendors: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(vendor_name, closest): for each distinct vendor_name of rows the known name that it may stand for, or null."""
-    known = known_names(vendors).persist()
+    known = written(known_names(vendors), "known")
     names = rows.select("vendor_name", text.vendor_clean(F.col("vendor_name")).alias("clean")).distinct()
     best = best_matches(names.select("clean").distinct(), known, "suggest", settings).select("clean", F.col("found").alias("_s"))
     found = names.join(best, "clean", "left").join(known.select(F.col("clean").alias("_s"), F.col("vendor_name").alias("closest")), "_s", "left")

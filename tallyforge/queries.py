@@ -168,13 +168,13 @@ def vendor_resolve_exact(spark, sf_dir):
 
 def vendor_resolve_fuzzy(spark, sf_dir):
     """Names with a letter lost or a word added, resolved against the vendors of the history."""
-    table = _vendor_table(_history(spark, sf_dir)).persist()
+    table = scratch.written(_vendor_table(_history(spark, sf_dir)), "vendors")
     odd = table.select(F.col("vendor_id").alias("own"), F.when(F.crc32(F.col("vendor_id").cast("binary")) % 2 == 0, F.expr("overlay(vendor_name placing '' from 4 for 1)")).otherwise(F.concat("vendor_name", F.lit(" & sons"))).alias("vendor_name"))
     return vendors.resolve_vendors(odd.withColumn("vendor_id", F.lit(None).cast("string")), table).select("own", "vendor_name", "vendor_id")
 
 
 def closest_vendor(spark, sf_dir):
-    table = _vendor_table(_history(spark, sf_dir)).persist()
+    table = scratch.written(_vendor_table(_history(spark, sf_dir)), "vendors")
     odd = table.select(F.expr("overlay(vendor_name placing 'x' from 2 for 1)").alias("vendor_name"))
     return vendors.closest_vendors(odd, table)
 
