@@ -15,7 +15,7 @@ from tallyforge.functions.dates import parse_date
 from tallyforge.operators import cleaning, pairs, rules, stats, tamper, vendors
 from tallyforge.plans import audit, check
 from tallyforge.settings import Settings
-from tallyforge.sources import ingest
+from tallyforge.sources import ingest, receipt_files
 from tallyforge.sources.store import Store, csv_escaped, read_rates, save_rates
 
 INV = "id long, invoice_id string, vendor_id string, vendor_name string, invoice_date date, amount double, currency string, po_number string"
@@ -363,3 +363,34 @@ def test_numbered_over_many_partitions(spark):
     rows = spark.range(1000).repartition(37, "id")
     got = check.numbered(rows, "n", -1, -1).collect()
     assert sorted(r.n for r in got) == list(range(-1000, 0)) and check.numbered(rows.limit(0), "n").count() == 0
+
+
+def test_receipt_files_and_boxes(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("ACME TRADING\nInvoice No: A-77\nDate: 2024-03-01\nTotal $ 12.50")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 x")
+    (tmp_path / "c.jpg").write_bytes(b"\xff\xd8\xff\xe0")
+    (tmp_path / "d.bin").write_bytes(b"\xff\xfe\xfa")
+    files = receipt_files.read_files(spark, str(tmp_path))
+    boxes = lambda data: [(50.0, 10.0, 10.0, "9.99"), (0.0, 12.0, 10.0, "TOTAL")]
+    got = {r.path[-5:]: r for r in receipt_files.file_fields(files, from_pdf=lambda data: "", from_image=boxes).collect()}
+    assert (got["a.txt"].vendor_name, got["a.txt"].invoice_id, got["a.txt"].amount, got["a.txt"].currency, got["a.txt"].problem) == ("ACME TRADING", "A-77", 12.5, "USD", None)
+    assert "scans" in got["b.pdf"].problem and got["c.jpg"].amount == 9.99 and got["d.bin"].problem and got["d.bin"].amount is None
+    rows = spark.createDataFrame([("p", 50.0, 10.0, 10.0, "12.50"), ("p", 0.0, 12.0, 10.0, "TOTAL"), ("p", 0.0, 40.0, 10.0, "END"), ("q", 1.0, 1.0, 1.0, "x")], "path string, left double, middle double, height double, text string")
+    assert {r.path: r.text for r in receipt_files.box_lines(rows).collect()} == {"p": "TOTAL 12.50\nEND", "q": "x"}
+
+
+def test_image_verdicts_and_report(spark):
+    told = spark.createDataFrame([("a", 95, None), ("b", None, None), ("c", 50, "not checked: strong"), ("d", None, None)], "path string, quality int, reason string")
+    scores = spark.createDataFrame([("a", 0.96, 2, 3), ("b", 0.96, 0, 0)], "path string, score double, by int, bx int")
+    got = {r.path: r for r in tamper.image_verdicts(told, scores, {"scan": 0.95, "jpeg": 0.97}).collect()}
+    assert (got["a"].suspicious, got["a"].x, got["a"].y, got["a"].width) == (False, 96, 64, 32) and got["b"].suspicious and got["c"].reason.endswith("strong") and "no ink" in got["d"].reason and got["d"].score is None
+    r = random.Random(9)
+    rows = [(round(r.random(), 1), int(r.random() < 0.3)) for _ in range(200)]
+    m = tamper.report(spark.createDataFrame(rows, "score double, label int"), 0.6).first()
+    bad, good = [s for s, y in rows if y], [s for s, y in rows if not y]
+    hits, flagged = sum(s >= 0.6 for s in bad), sum(s >= 0.6 for s, _ in rows)
+    assert abs(m.roc_auc - sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good))) < 1e-12
+    assert (m.images, m.edited, m.precision, m.recall, m.f1) == (200, len(bad), hits / flagged, hits / len(bad), 2 * hits / (flagged + len(bad)))
+    labelled = spark.createDataFrame([(f"p{i}", float(i < 10)) for i in range(40) for _ in range(3)], "path string, label double")
+    folds = tamper.folds_of(labelled, 5).groupBy("fold").count().collect()
+    assert sorted(x["count"] for x in folds) == [8] * 5
