@@ -341,7 +341,7 @@ def with_token_count(docs: DataFrame, path: str, text: str = "text", out: str =
         for s in batches:
             yield pd.Series([n for some in _texts_at_once([t or "" for t in s.tolist()]) for n in bpe.lengths(some)], dtype="int64")
 
-    return with_column(docs, out, counted(F.col(text)))
+    return with_column(docs, out, counted.asNondeterministic()(F.col(text)))  # so that a filter on it does not run it again
 
 
 def with_decoded(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
