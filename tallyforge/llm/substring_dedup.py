@@ -135,7 +135,7 @@ def drop_repeats(docs: DataFrame, count: str = "n_sentences", removed: str = "n_
             out.append((left, n, sum(1 for i in gone if parts[i].strip())))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
 
-    done = joined.withColumn("_s", stripped(text, F.col("spans")))
+    done = joined.withColumn("_s", stripped.asNondeterministic()(text, F.col("spans")))  # so that a filter on it does not run it again
     i = names.index("text")
     return done.select(*[F.col("_s.text" if k == i else f"_c{k}").alias(c) for k, c in enumerate(names)], F.col("_s.n_sentences").alias(free_name(names, count)), F.col("_s.n_removed").alias(free_name(names, removed)))
 
