@@ -93,3 +93,42 @@ def test_run_on_awkward_rows(spark, tmp_path):
     for _, stage in pipeline.STAGES[:4]:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.columns == spark.read.parquet(str(tmp_path / "documents.parquet")).columns
+
+
+def test_crowded_bucket_loses_no_link(spark):
+    """All texts in one bucket: chains whose ends no leader is like, pairs, and texts that are like no other."""
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm import near_copies
+    from tallyforge.llm.components import connected_components
+
+    r = random.Random(5)
+    texts = []
+    for chain, length in enumerate([40, 25, 2, 2, 2, 1, 1, 1]):
+        words = [f"k{chain}w{i}" for i in range(120)]
+        for step in range(length):
+            texts.append(" ".join(words))
+            words = words[3:] + [f"k{chain}n{step}x{i}" for i in range(3)]
+    near = [[f"t{i}" for i in range(100)] for _ in range(6)]
+    for i, words in enumerate(near):  # similar to each other, but below 0.8
+        for at in r.sample(range(100), 3):
+            words[at] = f"u{i}at{at}"
+    texts += [" ".join(w) for w in near]
+    docs = table(spark, list(enumerate(texts)))
+    rows = near_copies.with_bands(docs.select("doc_id", "text"))
+    classes = rows.select("fp", F.struct("doc_id", "h").alias("who"), "size", F.array(F.lit(1).cast("long")).alias("bands"), "bits").cache()
+    ids = {x.fp: x.who.doc_id for x in classes.collect()}
+    sets = [near_copies.shingle_set(t) for t in texts]
+    want = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if near_copies.similarity(sets[a], sets[b]) >= 0.8:
+            old, new = want[b], want[a]
+            want = [new if w == old else w for w in want]
+    got = list(range(len(texts)))
+    for x in connected_components(near_copies.similar_links(docs.select("doc_id", "text"), classes)).collect():
+        got[ids[x.node]] = ids[x.component]
+    group = lambda of: {frozenset(i for i, w in enumerate(of) if w == v) for v in of}
+    assert group(got) == group(want) and 8 < len(group(want)) < 20
