@@ -24,7 +24,7 @@ from .common import small_batches, with_column
 _NONE = np.iinfo(np.int64).max
 #: Words kept encoded between batches of a task, leaves of the trees that are built together, and leaves from which a
 #: word's tree is worked alone: few words are that long, and each takes very many steps.
-KEPT_WORDS, LEAVES_AT_ONCE, LONG_TREE = 500_000, 1 << 20, 1 << 10
+KEPT_WORDS, LEAVES_AT_ONCE, LONG_TREE = 200_000, 1 << 18, 1 << 10
 #: White space as Unicode defines it; Python's own classes also hold the four separators from U+001C.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
