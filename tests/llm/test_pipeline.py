@@ -132,3 +132,30 @@ def test_crowded_bucket_loses_no_link(spark):
         got[ids[x.node]] = ids[x.component]
     group = lambda of: {frozenset(i for i, w in enumerate(of) if w == v) for v in of}
     assert group(got) == group(want) and 8 < len(group(want)) < 20
+
+
+def test_near_dedup_goes_by_simhash_and_few_pairs(spark, monkeypatch):
+    """The stage's bands are bits of a SimHash, which follows the angle of two sets; a group costs few pairs a member."""
+    import numpy as np
+
+    from tallyforge.llm import near_copies, simhash
+
+    r = np.random.default_rng(3)
+    a, b = (r.integers(0, 1 << 63, 400, dtype=np.uint64) for _ in range(2))
+    long = lambda s: simhash.long_fingerprint(np.unique(s))
+    for shared in (0, 200, 356, 400):  # cosine: shared / 400
+        apart = np.mean(long(a) != long(np.concatenate([a[:shared], b[shared:]])))
+        assert abs(apart - np.arccos(shared / 400) / np.pi) < 0.03
+    calls = []
+    real = near_copies.long_fingerprint
+    monkeypatch.setattr(near_copies, "long_fingerprint", lambda s: calls.append(1) or real(s))
+    near_copies.bands(a)
+    assert calls
+    monkeypatch.undo()
+    words = [f"g{i}" for i in range(300)]
+    docs = table(spark, [(i, " ".join([*words[:i], f"z{i}", *words[i + 1 :]])) for i in range(150)])
+    tried = []
+    check = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda d, c, pairs: tried.append(pairs.count()) or check(d, c, pairs))
+    assert [x.doc_id for x in near_copies.keep_distinct(docs).collect()] == [0]
+    assert 149 <= sum(tried) <= 600  # all pairs: 11,175
