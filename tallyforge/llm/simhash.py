@@ -28,6 +28,8 @@ _LANES = np.uint64(0x0101010101010101)
 BITS = 8192
 _WEIGHTS = np.array([1.0, 0.83, 0.71, 0.59])
 _SIDE = 64
+#: Sums of which decided() keeps one, and the rounds of BITS sums that it draws.
+GROUP, ROUNDS = 256, 8
 
 
 def _hadamard(n: int) -> np.ndarray:
@@ -36,6 +38,11 @@ def _hadamard(n: int) -> np.ndarray:
 
 
 _LEFT, _RIGHT = _hadamard(_SIDE), _hadamard(BITS // _SIDE)
+_SIGNS = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (ROUNDS, BITS)) / np.sqrt(np.float32(BITS))
+
+
+def _turned(at: np.ndarray) -> np.ndarray:
+    return (_LEFT @ at.reshape(_SIDE, -1) @ _RIGHT).ravel()
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -75,10 +82,10 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
     return out.view(np.int64)
 
 
-def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """The SimHash of a set of shingle hashes in BITS booleans: a bit is the sign of the sum of what each shingle draws
-    for it. Each shingle puts signed weights at four places that its hash chooses, and a Hadamard transform draws all
-    bits from them at once, in a time that hardly depends on the length of the text."""
+def long_sums(shingles: np.ndarray) -> np.ndarray:
+    """The BITS sums of a long SimHash, each of what every shingle of a set of shingle hashes draws for it. Each shingle
+    puts signed weights at four places that its hash chooses, and a Hadamard transform draws all sums from them at once,
+    in a time that hardly depends on the length of the text."""
     at = np.zeros(BITS)
     for k, weight in enumerate(_WEIGHTS.tolist()):
         x = (shingles ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +93,25 @@ def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
         x *= np.uint64(0xD6E8FEB86659FD93)
         sign = (x >> np.uint64(40) & np.uint64(1)).astype(np.float64) * (2 * weight) - weight
         at += np.bincount((x >> np.uint64(51)).astype(np.int64), sign, BITS)
-    return (_LEFT @ at.astype(np.float32).reshape(_SIDE, -1) @ _RIGHT > 0).ravel()
+    return _turned(at.astype(np.float32))
+
+
+def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingle hashes in BITS booleans: a bit is the sign of its sum."""
+    return long_sums(shingles) > 0
+
+
+def decided(shingles: np.ndarray) -> np.ndarray:
+    """The most decided bits of a SimHash of ROUNDS * BITS further sums: of each GROUP sums twice the place of the one
+    furthest from zero, plus 1 if it is above. Few shared shingles can be lost before such a bit changes: two equal-sized
+    sets of similarity 0.8 agree in one with a chance of 0.39, unlike sets with one of 1 in 2 * GROUP."""
+    sums, out = long_sums(shingles), []
+    for signs in _SIGNS:  # each round turns the sums before it anew
+        sums = _turned(sums * signs)
+        held = sums.reshape(-1, GROUP)
+        far = np.abs(held).argmax(axis=1)
+        out.append(2 * far + (held[np.arange(len(far)), far] > 0))
+    return np.concatenate(out)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:

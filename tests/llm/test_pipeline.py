@@ -159,3 +159,56 @@ def test_near_dedup_goes_by_simhash_and_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "verified", lambda d, c, pairs: tried.append(pairs.count()) or check(d, c, pairs))
     assert [x.doc_id for x in near_copies.keep_distinct(docs).collect()] == [0]
     assert 149 <= sum(tried) <= 600  # all pairs: 11,175
+
+
+def test_bands_meet_near_copies_and_little_else():
+    """Pairs of similarity 0.8 share a band; of unlike sets few do, so that chance meetings don't grow with the corpus."""
+    import numpy as np
+
+    from tallyforge.llm import near_copies
+
+    r = np.random.default_rng(8)
+    drawn = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    missed = 0
+    for i in range(400):
+        own = (1, 5, 30)[i % 3]
+        shared = drawn(8 * own)
+        a, b = (np.unique(np.concatenate([shared, drawn(own)])) for _ in range(2))
+        assert near_copies.similarity(a, b) == 0.8
+        missed += not (near_copies.bands(a)[0] == near_copies.bands(b)[0]).any()
+    assert missed <= 2
+    held = np.array([near_copies.bands(drawn(60))[0] for _ in range(2500)])
+    met = sum(len(v) - len(np.unique(v)) for v in held.T)
+    assert met <= 15  # of 3.1 million pairs
+
+
+def test_texts_just_below_the_similarity_are_rarely_compared(spark, monkeypatch):
+    """A crowd of similarities about 0.68 shares buckets, and its bits tell its pairs apart before texts are fetched."""
+    import random
+
+    from tallyforge.llm import near_copies
+
+    r = random.Random(4)
+    texts = []
+    for i in range(120):
+        words = [f"b{k}" for k in range(300)]
+        for at in r.sample(range(0, 300, 5), 6):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [near_copies.shingle_set(t) for t in texts]
+    near = [(a, b) for a in range(120) for b in range(a) if near_copies.similarity(sets[a], sets[b]) >= 0.8]
+    tried = []
+    check = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda d, c, pairs: tried.append(pairs.count()) or check(d, c, pairs))
+    kept = {x.doc_id for x in near_copies.keep_distinct(table(spark, list(enumerate(texts)))).collect()}
+    assert kept == set(range(120)) - {a for a, _ in near}
+    assert sum(tried) <= 840  # 7 a text; all pairs: 7,140
+
+
+def test_near_dedup_leaves_texts_in_place(spark):
+    """While few documents go, the stage's end moves no texts."""
+    docs = table(spark, [(i, prose(i % 9, 14)) for i in range(12)])
+    kept = pipeline.simhash_near_dedup(spark, docs, "")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert {x.doc_id for x in kept.collect()} == set(range(9))
