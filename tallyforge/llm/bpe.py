@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, with_column
+from .common import give_back, small_batches, with_column
 
 _NONE = np.iinfo(np.int64).max
 #: Words kept encoded between batches of a task, leaves of the trees that are built together, and leaves from which a
@@ -340,6 +340,8 @@ def with_token_count(docs: DataFrame, path: str, text: str = "text", out: str =
         bpe = WordBPE.load(spec.value)
         for s in batches:
             yield pd.Series([n for some in _texts_at_once([t or "" for t in s.tolist()]) for n in bpe.lengths(some)], dtype="int64")
+        del bpe  # with the words that it keeps
+        give_back()
 
     return with_column(docs, out, counted.asNondeterministic()(F.col(text)))  # so that a filter on it does not run it again
 

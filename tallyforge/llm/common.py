@@ -18,7 +18,7 @@ BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 #: Rows (about) of a range or bucket that one task puts in order.
 ROWS_OF_A_RANGE = 50_000
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "free_name", "hex64", "in_order", "ranked", "scope", "shared_dir", "small_batches", "stash", "unstash", "with_column", "with_fields"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "free_name", "give_back", "hex64", "in_order", "ranked", "scope", "shared_dir", "small_batches", "stash", "unstash", "with_column", "with_fields"]
 
 
 def stash(df: DataFrame, label: str = "part") -> DataFrame:
@@ -34,6 +34,19 @@ def small_batches(spark: SparkSession) -> None:
     setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return to the system what the allocators of this Python worker hold unused: workers outlive their tasks, and idle
+    ones count in an executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """name, with as many underscores behind it as keep it apart from the names taken (in any case)."""
     low = {t.lower() for t in taken}

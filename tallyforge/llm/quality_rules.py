@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, with_column
+from .common import free_name, give_back, small_batches, with_column
 
 #: Words that are sorted together; one longer text is sorted alone.
 WORDS_AT_ONCE = 200_000
@@ -236,6 +236,7 @@ def quality_measures(docs: DataFrame, text: str = "text", limits: Limits = Limit
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             yield pd.DataFrame(measure(s.tolist(), limits), columns=names)
+        give_back()
 
     return with_column(docs, out, measured(F.col(text)))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches, stash, unstash
+from .common import free_name, give_back, small_batches, stash, unstash
 
 #: Sentences of a run, and the words from which a shorter run counts too.
 SPAN, LONG_WORDS = 3, 25
@@ -81,6 +81,7 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
                     yield batch(cols)
                     cols = [[] for _ in names]
             yield batch(cols)
+        give_back()
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(each, _SPAN_SCHEMA)
 
